@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
-from . import near_dedup
+from . import near_dedup, packing, quality, secrets, tokens, url_filter
 
 
 def queries():
-    return {"op2_minhash_near_dedup": near_dedup.query}
+    return {
+        "op2_minhash_near_dedup": near_dedup.query,
+        "op3_best_fit_packing": packing.query,
+        "op4_quality_rules": quality.query,
+        "op5_url_filter": url_filter.query,
+        "op6_secret_scan": secrets.query,
+        "op9_token_counts": tokens.length_query,
+    }
 
 
 def oracle_sql():
-    return {"op2_minhash_near_dedup": near_dedup.ORACLE_SQL}
+    return {"op2_minhash_near_dedup": near_dedup.ORACLE_SQL, "op5_url_filter": url_filter.ORACLE_SQL}
