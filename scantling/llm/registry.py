@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import near_dedup, packing, quality, secrets, tokens, url_filter
+from . import near_dedup, packing, quality, secrets, tokens, url_filter, warc
 
 
 def queries():
@@ -12,9 +12,10 @@ def queries():
         "op4_quality_rules": quality.query,
         "op5_url_filter": url_filter.query,
         "op6_secret_scan": secrets.query,
+        "op8_warc": warc.query,
         "op9_token_counts": tokens.length_query,
     }
 
 
 def oracle_sql():
-    return {"op2_minhash_near_dedup": near_dedup.ORACLE_SQL, "op5_url_filter": url_filter.ORACLE_SQL}
+    return {"op2_minhash_near_dedup": near_dedup.ORACLE_SQL, "op5_url_filter": url_filter.ORACLE_SQL, "op8_warc": warc.ORACLE_SQL}
