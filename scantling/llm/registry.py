@@ -1,21 +1,32 @@
-"""The subpackage's queries by name, and their SQL where SQL can state them."""
+"""The subpackage's queries by name, and their SQL where SQL can state them.
+
+Modules are imported when a query runs: a driver that runs one query doesn't hold all libraries.
+"""
 
 from __future__ import annotations
 
-from . import near_dedup, packing, quality, secrets, tokens, url_filter, warc
+from importlib import import_module
+
+#: Query to (module, function).
+QUERIES = {
+    "op2_minhash_near_dedup": ("near_dedup", "query"),
+    "op3_best_fit_packing": ("packing", "query"),
+    "op4_quality_rules": ("quality", "query"),
+    "op5_url_filter": ("url_filter", "query"),
+    "op6_secret_scan": ("secrets", "query"),
+    "op8_warc": ("warc", "query"),
+    "op9_token_counts": ("tokens", "length_query"),
+    "op10_benchmark_decontamination": ("decontaminate", "query"),
+}
+SQL = {"op2_minhash_near_dedup": "near_dedup", "op5_url_filter": "url_filter", "op8_warc": "warc"}
 
 
 def queries():
-    return {
-        "op2_minhash_near_dedup": near_dedup.query,
-        "op3_best_fit_packing": packing.query,
-        "op4_quality_rules": quality.query,
-        "op5_url_filter": url_filter.query,
-        "op6_secret_scan": secrets.query,
-        "op8_warc": warc.query,
-        "op9_token_counts": tokens.length_query,
-    }
+    def of(module, function):
+        return lambda spark, sf_dir: getattr(import_module(f"{__package__}.{module}"), function)(spark, sf_dir)
+
+    return {name: of(*where) for name, where in QUERIES.items()}
 
 
 def oracle_sql():
-    return {"op2_minhash_near_dedup": near_dedup.ORACLE_SQL, "op5_url_filter": url_filter.ORACLE_SQL, "op8_warc": warc.ORACLE_SQL}
+    return {name: import_module(f"{__package__}.{module}").ORACLE_SQL for name, module in SQL.items()}
