@@ -9,6 +9,7 @@ from importlib import import_module
 
 #: Query to (module, function).
 QUERIES = {
+    "op1_substring_dedup": ("substring_dedup", "query"),
     "op2_minhash_near_dedup": ("near_dedup", "query"),
     "op3_best_fit_packing": ("packing", "query"),
     "op4_quality_rules": ("quality", "query"),
