@@ -15,6 +15,7 @@ QUERIES = {
     "op4_quality_rules": ("quality", "query"),
     "op5_url_filter": ("url_filter", "query"),
     "op6_secret_scan": ("secrets", "query"),
+    "op7_recurrent_lm": ("language_model", "query"),
     "op8_warc": ("warc", "query"),
     "op9_token_counts": ("tokens", "length_query"),
     "op10_benchmark_decontamination": ("decontaminate", "query"),
