@@ -27,7 +27,7 @@ def queries():
     def of(module, function):
         return lambda spark, sf_dir: getattr(import_module(f"{__package__}.{module}"), function)(spark, sf_dir)
 
-    return {name: of(*where) for name, where in QUERIES.items()}
+    return {name: of(*where) for name, where in QUERIES.items()} | {"pipeline": lambda spark, sf_dir: import_module("corpus_pipeline").run(spark, sf_dir)}
 
 
 def oracle_sql():
