@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from . import base, scoring  # noqa: F401  the modules register their queries
+
 FLAGSHIP = "auc_ties"
 
 
 def queries():
-    return {}
+    return dict(base.QUERIES)
 
 
 def oracle_sql():
-    return {}
+    return dict(base.SQL)
