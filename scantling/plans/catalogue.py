@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import base, scoring  # noqa: F401  the modules register their queries
+from . import base, ranking, resampling, scoring  # noqa: F401  the modules register their queries
 
 FLAGSHIP = "auc_ties"
 
