@@ -128,7 +128,7 @@ class Archive:
     """An archive being written; the first records are held back as the dictionary's sample."""
 
     def __init__(self, filesystem, path: str):
-        self.path, self.out = path, filesystem.open_output_stream(path)
+        self.path, self.out = path, filesystem.open_output_stream(path, compression=None)
         self.held, self.held_bytes, self.pack, self.records = [], 0, None, 0
 
     def start(self) -> None:
@@ -188,7 +188,7 @@ def frames(stream, chunk: int = CHUNK):
 
 def read_archive(filesystem, path: str):
     """The validated records of an archive."""
-    with filesystem.open_input_stream(path) as stream:
+    with filesystem.open_input_stream(path, compression=None) as stream:
         n = -1
         try:
             for n, data in enumerate(frames(stream)):
