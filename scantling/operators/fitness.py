@@ -12,7 +12,7 @@ BINS = 10
 def correlation(a: str, b: str) -> Column:
     """Pearson correlation of a group; 0 without variance."""
     ok = (F.var_pop(a) > 1e-18) & (F.var_pop(b) > 1e-18)
-    return F.when(ok, F.corr(a, b)).otherwise(0.0)
+    return F.when(ok, F.covar_pop(a, b) / F.when(ok, F.stddev_pop(a) * F.stddev_pop(b))).otherwise(0.0)
 
 
 def pearson(scores: DataFrame, key=KEY) -> DataFrame:
