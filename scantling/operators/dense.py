@@ -61,13 +61,15 @@ class Matrix:
 
 def groups(scores: np.ndarray, y: np.ndarray):
     """Distinct scores ascending, positives and negatives at each."""
-    values, at = np.unique(scores, return_inverse=True)
-    pos = np.bincount(at, y == 1, len(values))
-    return values, pos, np.bincount(at, y == 0, len(values))
+    order = np.argsort(scores)
+    s = scores[order]
+    ends = np.append(np.flatnonzero(s[1:] != s[:-1]), len(s) - 1)
+    pos, neg = (np.diff(np.cumsum(y[order] == k)[ends], prepend=0).astype(float) for k in (1, 0))
+    return s[ends], pos, neg
 
 
-def auc(scores: np.ndarray, y: np.ndarray) -> float:
-    _, p, n = groups(scores, y)
+def auc(scores: np.ndarray, y: np.ndarray, tied=None) -> float:
+    _, p, n = tied or groups(scores, y)
     if not p.sum() or not n.sum():
         return 0.5
     above = p.sum() - np.cumsum(p)
@@ -96,8 +98,8 @@ def objective(fit: str, tp, fp, tn, fn, penalties=None):
         return sens + spec - 1.0
 
 
-def best_threshold(scores: np.ndarray, y: np.ndarray, fit: str = "auc", penalties=None) -> dict:
-    values, p, n = groups(scores, y)
+def best_threshold(scores: np.ndarray, y: np.ndarray, fit: str = "auc", penalties=None, tied=None) -> dict:
+    values, p, n = tied or groups(scores, y)
     if not p.sum() or not n.sum():
         return {"threshold": float("nan"), "accuracy": 0.0, "sensitivity": 0.0, "specificity": 0.0, "objective": float("-inf")}
     fn, tn = np.r_[0, np.cumsum(p)], np.r_[0, np.cumsum(n)]
@@ -121,7 +123,8 @@ def fit(models: DataFrame, matrix: Matrix, language: str = "ternary", data_type:
             out = []
             for model_id, f, c in zip(pdf["model_id"], pdf["f"], pdf["c"]):
                 s = m.scores(np.searchsorted(m.features, f), np.asarray(c, float), language, g, data_type, epsilon)
-                out.append({"model_id": model_id, "auc": auc(s, m.y)} | best_threshold(s, m.y, by, penalties))
+                tied = groups(s, m.y)
+                out.append({"model_id": model_id, "auc": auc(s, m.y, tied)} | best_threshold(s, m.y, by, penalties, tied))
             yield pd.DataFrame(out, columns=[x.split()[0] for x in FITTED.split(", ")])
 
     return models.select("model_id", F.col("terms.f").alias("f"), F.col("terms.c").alias("c")).mapInPandas(run, FITTED)
