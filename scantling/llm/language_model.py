@@ -35,7 +35,9 @@ from .common import Grid, cut, documents, over_batches
 
 TABLE_WORDS = 3_000_000
 VOCABULARY, PER_CLASS, SHAPES, HIDDEN = 1024, 64, 8, 24
-WINDOW, TRAIN_LANES, SCORE_LANES, ROUNDS, RATE = 32, 48, 192, 3, 0.02
+WINDOW, TRAIN_LANES, SCORE_LANES, ROUNDS, RATE = 32, 384, 512, 3, 0.1
+#: Texts that a task trains on or scores at a time: rows, and bytes of text.
+CHUNK_ROWS, CHUNK_BYTES = 4096, 10 << 20
 LN10 = float(np.log(10))
 END = np.uint64(xxhash.xxh3_64_intdigest(b"\0end of text"))
 
@@ -148,7 +150,11 @@ def count_tokens(docs: DataFrame, vocabulary: int = VOCABULARY, most: int = TABL
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
+    """In place."""
+    np.negative(x, out=x)
+    np.exp(x, out=x)
+    x += 1
+    return np.reciprocal(x, out=x)
 
 
 def log_softmax(x: np.ndarray) -> np.ndarray:
@@ -188,9 +194,14 @@ class Model:
     def step(self, x: np.ndarray, h: np.ndarray):
         n, r = self.h, h @ self.p["rec"]
         zr = sigmoid(x[:, : 2 * n] + r[:, : 2 * n])
-        z, g = zr[:, :n], zr[:, n:]
-        c = np.tanh(x[:, 2 * n :] + g * r[:, 2 * n :])
-        return h + z * (c - h), z, g, c, r[:, 2 * n :]
+        z, g, rec = zr[:, :n], zr[:, n:], r[:, 2 * n :]
+        c = g * rec
+        c += x[:, 2 * n :]
+        np.tanh(c, out=c)
+        new = c - h
+        new *= z
+        new += h
+        return new, z, g, c, rec
 
     def inputs(self) -> np.ndarray:
         return self.p["emb"] + self.p["bias"]
@@ -239,7 +250,8 @@ def lanes(docs: list[np.ndarray], n: int):
 
 def grids(docs: list[np.ndarray], n: int, start: int):
     """Lanes as matrices: token, previous token, document number (-1: none) and whether a document starts."""
-    deal = lanes(docs, n)
+    longest = max(map(len, docs))
+    deal = lanes(docs, max(1, min(n, 4 * sum(map(len, docs)) // longest)))  # the matrix has at most four cells a token
     steps = max(sum(len(docs[i]) for i in x) for x in deal)
     token, prev, owner = np.zeros((steps, len(deal)), np.int32), np.full((steps, len(deal)), start, np.int32), np.full((steps, len(deal)), -1, np.int32)
     first = np.ones((steps, len(deal)), np.float32)
@@ -372,8 +384,8 @@ def train(docs: DataFrame, table: Table, rest: np.ndarray, rounds: int = ROUNDS,
                 col = batch.column(1).filter(pa.array(mine))
                 at = 0
                 while at < len(col):
-                    part = col.slice(at, 512)
-                    at += 512
+                    part = col.slice(at, CHUNK_ROWS)
+                    at += CHUNK_ROWS
                     grid = Grid(part)
                     ids, _, _ = token_ids(grid, t)
                     trainer.learn([with_end(x, end) for x in grid.per_text(ids)])
@@ -463,7 +475,7 @@ def score(docs: DataFrame, rounds: int = ROUNDS, vocabulary: int = VOCABULARY, m
 
         return f
 
-    scored = docs.mapInArrow(over_batches(scorer, SCORED, 1024, "text"), "doc long, doc_id long, held_out boolean, n_tokens long, known long, base double, neural double, open long")
+    scored = docs.mapInArrow(over_batches(scorer, SCORED, CHUNK_ROWS, "text", CHUNK_BYTES), "doc long, doc_id long, held_out boolean, n_tokens long, known long, base double, neural double, open long")
     scored = cut(scored)
     found = docs.mapInArrow(over_batches(rare, RARE, weigh="text"), "doc long, hash long, times long").join(counts, "hash", "left")
     n, c = F.col("times"), F.coalesce("n", F.lit(0))
