@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Grid, components, cut, documents, mix, over_batches, window_hashes
+from .common import Grid, components, cut, documents, mix, over_batches, small_batches, stored, window_hashes
 from .near_dedup import hash_family
 
 LENGTH, SPREAD, SHINGLE, THRESHOLD, MISS, ROWS = 20, 30, 5, 0.8, 0.02, 2
@@ -128,7 +128,11 @@ SETS = pa.schema([("content", pa.int64()), ("items", pa.binary())])
 
 
 def set_maker(length: int, spread: int):
-    """The full shingle sets of wanted contents, from the texts that hold them."""
+    """The full shingle sets of wanted contents, from the texts that hold them.
+
+    Shingles go by 32 bits here: two paragraphs have 256 pairs of them, so some unequal pair looks
+    equal with probability 6e-8.
+    """
 
     def make():
         def f(batch):
@@ -143,7 +147,7 @@ def set_maker(length: int, spread: int):
                     if c in want:
                         want.discard(c)
                         out["content"].append(c)
-                        out["items"].append(np.unique(p[1][k]).tobytes())
+                        out["items"].append(np.unique(p[1][k].astype(np.uint32)).tobytes())
             return out
 
         return f
@@ -159,7 +163,7 @@ def confirmer(threshold: float):
         def f(rows):
             keep = []
             for i, (x, y) in enumerate(zip(rows.column("xa").to_pylist(), rows.column("xb").to_pylist())):
-                x, y = set(np.frombuffer(x, np.uint64).tolist()), set(np.frombuffer(y, np.uint64).tolist())
+                x, y = set(np.frombuffer(x, np.uint32).tolist()), set(np.frombuffer(y, np.uint32).tolist())
                 if len(x & y) >= threshold * len(x | y):
                     keep.append(i)
             keep = pa.array(keep, pa.int64())
@@ -173,16 +177,17 @@ def confirmer(threshold: float):
 def repeated_passages(docs: DataFrame, threshold: float = THRESHOLD, miss: float = MISS, length: int = LENGTH, spread: int = SPREAD) -> DataFrame:
     """Runs of paragraphs of ``docs`` (doc_id, text) that other documents have too."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id is not null")
+    small_batches(docs.sparkSession)
     bands = tune_bands(threshold, miss)
     rows = docs.mapInArrow(over_batches(bander(bands, ROWS, length, spread), BANDED, weigh="text"), "key array<long>, repeat boolean, content long, doc_id long, start int")
     rows = rows.select(F.explode("key").alias("key"), "repeat", "content", "doc_id", "start")
     w = Window.partitionBy("key").orderBy("content", "doc_id", "start")
     rows = rows.select("*", F.first("content").over(w).alias("lo"), F.lag("content").over(w).alias("prev"), F.lead("content").over(w).alias("next"))
-    hits = cut(rows.filter("repeat or prev is not null or next is not null").select("content", "doc_id", "start", F.when(F.col("lo") != F.col("content"), F.col("lo")).alias("lo"), F.when((F.col("prev") != F.col("content")) & (F.col("prev") != F.col("lo")), F.col("prev")).alias("prev")))
-    units = cut(hits.select("content", "doc_id", "start").distinct())
-    pairs = cut(hits.select("content", F.explode(F.array("lo", "prev")).alias("o")).filter("o is not null").select(F.least("content", "o").alias("a"), F.greatest("content", "o").alias("b")).distinct())
+    hits = stored(rows.filter("repeat or prev is not null or next is not null").select("content", "doc_id", "start", F.when(F.col("lo") != F.col("content"), F.col("lo")).alias("lo"), F.when((F.col("prev") != F.col("content")) & (F.col("prev") != F.col("lo")), F.col("prev")).alias("prev")))
+    units = stored(hits.select("content", "doc_id", "start").distinct())
+    pairs = stored(hits.select("content", F.explode(F.array("lo", "prev")).alias("o")).filter("o is not null").select(F.least("content", "o").alias("a"), F.greatest("content", "o").alias("b")).distinct())
     label = components(verified(docs, units, pairs, threshold, length, spread))
-    units = cut(units.join(label, F.col("content") == F.col("node"), "left").select("content", "doc_id", "start", F.coalesce("component", "content").alias("passage")))
+    units = stored(units.join(label, F.col("content") == F.col("node"), "left").select("content", "doc_id", "start", F.coalesce("component", "content").alias("passage")))
     where = F.struct("doc_id", "start")
     passages = cut(units.groupBy("passage").agg(F.min(where).alias("kept"), F.max("doc_id").alias("last")).filter(F.col("kept.doc_id") < F.col("last")).select("passage", "kept"))
     marked = units.join(passages, "passage").select("doc_id", "start", F.col("kept.doc_id").alias("kept_doc_id"), (where != F.col("kept")).alias("removed"))
@@ -198,7 +203,7 @@ def verified(docs: DataFrame, units: DataFrame, pairs: DataFrame, threshold: flo
     if not n:
         return pairs
     texts = docs.join(F.broadcast(need) if n <= BROADCAST_ROWS else need, "doc_id").select("text", "want")
-    sets = cut(texts.mapInArrow(over_batches(set_maker(length, spread), SETS, weigh="text"), "content long, items binary").dropDuplicates(["content"]))
+    sets = texts.mapInArrow(over_batches(set_maker(length, spread), SETS, weigh="text"), "content long, items binary")
     full = pairs.join(sets.select(F.col("content").alias("a"), F.col("items").alias("xa")), "a").join(sets.select(F.col("content").alias("b"), F.col("items").alias("xb")), "b")
     return cut(full.select("a", "b", "xa", "xb").mapInArrow(over_batches(confirmer(threshold), PAIRS, 8192), "a long, b long"))
 

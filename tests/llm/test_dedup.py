@@ -75,7 +75,7 @@ def test_components_equal_union_find_over_many_partitions(spark):
     before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     try:
-        got = {r.node: r.component for r in common.components(edges).collect()}
+        got = {r.node: r.component for r in common.components(edges, per_part=60).collect()}
     finally:
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
     up = {}
