@@ -11,7 +11,10 @@ that repeats within itself) are left out. Bands of MinHash rows, as many as ``tu
 give keys. Within a task a content that occurred already is not banded again (so a passage that
 half of all documents share reaches each key once per task); then rows of a key meet, contents are
 linked with the key's first and the preceding content, and every link between unequal contents is
-verified by exact Jaccard similarity on the full sets. Components of contents that occur in two
+verified by exact Jaccard similarity on the full sets. Contents of a key that are in different
+components after that are all compared: as rows of pairs where a key has at most ``CROWD`` contents,
+else in pairs of blocks of about ``BLOCK``, of which only links that join components are returned.
+So no link within a key is lost. Components of contents that occur in two
 documents or more are passages; the copy in the smallest (document, place) is kept, all others
 are removals.
 
@@ -33,10 +36,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Grid, components, cut, documents, mix, over_batches, small_batches, stored, window_hashes
-from .near_dedup import hash_family
+from .near_dedup import common_counts, hash_family
 
 LENGTH, SPREAD, SHINGLE, THRESHOLD, MISS, ROWS = 20, 30, 5, 0.8, 0.02, 2
 LEAST_DISTINCT, SEEN, BROADCAST_ROWS = 8, 1_000_000, 400_000
+CROWD, BLOCK = 32, 1024
 
 
 def tune_bands(threshold: float = THRESHOLD, miss: float = MISS, rows: int = ROWS) -> int:
@@ -174,6 +178,38 @@ def confirmer(threshold: float):
     return make
 
 
+def block_linker(threshold: float):
+    """Links between two blocks of a key's contents that join components, as a forest."""
+
+    def f(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        t = table.combine_chunks()
+        block, node, label = (t.column(c).to_numpy() for c in ("block", "content", "c"))
+        sets = [np.frombuffer(x, np.uint32) for x in t.column("items").to_pylist()]
+        a, b = (np.flatnonzero(block == key[k].as_py()) for k in (1, 2))
+        out: list[tuple[int, int]] = []
+        if len(a) and len(b):
+            size = np.array([len(x) for x in sets])
+            both = common_counts([sets[k] for k in a], [sets[k] for k in b])
+            linked = both >= threshold * (size[a][:, None] + size[b][None] - both)
+            linked &= label[a][:, None] != label[b][None]
+            root: dict[int, int] = {}
+
+            def top(x):
+                while (up := root.get(x, x)) != x:
+                    root[x] = root.get(up, up)
+                    x = root[x]
+                return x
+
+            for x, y in zip(*np.nonzero(linked)):
+                p, q = top(int(label[a[x]])), top(int(label[b[y]]))
+                if p != q:
+                    root[p] = q
+                    out.append((int(node[a[x]]), int(node[b[y]])))
+        return pa.table([pa.array(c, pa.int64()) for c in (zip(*out) if out else ((), ()))], schema=PAIRS)
+
+    return f
+
+
 def repeated_passages(docs: DataFrame, threshold: float = THRESHOLD, miss: float = MISS, length: int = LENGTH, spread: int = SPREAD) -> DataFrame:
     """Runs of paragraphs of ``docs`` (doc_id, text) that other documents have too."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id is not null")
@@ -182,11 +218,13 @@ def repeated_passages(docs: DataFrame, threshold: float = THRESHOLD, miss: float
     rows = docs.mapInArrow(over_batches(bander(bands, ROWS, length, spread), BANDED, weigh="text"), "key array<long>, repeat boolean, content long, doc_id long, start int")
     rows = rows.select(F.explode("key").alias("key"), "repeat", "content", "doc_id", "start")
     w = Window.partitionBy("key").orderBy("content", "doc_id", "start")
-    rows = rows.select("*", F.first("content").over(w).alias("lo"), F.lag("content").over(w).alias("prev"), F.lead("content").over(w).alias("next"))
-    hits = stored(rows.filter("repeat or prev is not null or next is not null").select("content", "doc_id", "start", F.when(F.col("lo") != F.col("content"), F.col("lo")).alias("lo"), F.when((F.col("prev") != F.col("content")) & (F.col("prev") != F.col("lo")), F.col("prev")).alias("prev")))
+    rows = rows.select("*", F.first("content").over(w).alias("lo"), F.lag("content").over(w).alias("prev"), F.lead("content").over(w).alias("next")).withColumn("hi", F.max("content").over(Window.partitionBy("key")))
+    hits = rows.filter("repeat or prev is not null or next is not null").select("content", "doc_id", "start", F.when(F.col("lo") != F.col("hi"), F.col("key")).alias("key"), F.when(F.col("lo") != F.col("content"), F.col("lo")).alias("lo"), F.when((F.col("prev") != F.col("content")) & (F.col("prev") != F.col("lo")), F.col("prev")).alias("prev"))
+    hits = stored(hits)
     units = stored(hits.select("content", "doc_id", "start").distinct())
     pairs = stored(hits.select("content", F.explode(F.array("lo", "prev")).alias("o")).filter("o is not null").select(F.least("content", "o").alias("a"), F.greatest("content", "o").alias("b")).distinct())
-    label = components(verified(docs, units, pairs, threshold, length, spread))
+    mates = hits.filter("key is not null").select("key", "content").distinct()
+    label = components(links(docs, units, pairs, mates, threshold, length, spread))
     units = stored(units.join(label, F.col("content") == F.col("node"), "left").select("content", "doc_id", "start", F.coalesce("component", "content").alias("passage")))
     where = F.struct("doc_id", "start")
     passages = cut(units.groupBy("passage").agg(F.min(where).alias("kept"), F.max("doc_id").alias("last")).filter(F.col("kept.doc_id") < F.col("last")).select("passage", "kept"))
@@ -194,18 +232,37 @@ def repeated_passages(docs: DataFrame, threshold: float = THRESHOLD, miss: float
     return runs(marked.dropDuplicates(["doc_id", "start"]), length, spread)
 
 
-def verified(docs: DataFrame, units: DataFrame, pairs: DataFrame, threshold: float, length: int, spread: int) -> DataFrame:
-    """The pairs of contents whose full sets reach the threshold."""
-    used = pairs.select(F.explode(F.array("a", "b")).alias("content")).distinct()
+def links(docs: DataFrame, units: DataFrame, pairs: DataFrame, mates: DataFrame, threshold: float, length: int, spread: int) -> DataFrame:
+    """Verified links ``a, b`` that connect all contents which ``mates`` (key, content) of a key connect; ``pairs`` are tried first."""
+    used = pairs.select(F.explode(F.array("a", "b")).alias("content")).distinct()  # all mates: each is its key's first or paired with it
     need = units.join(used, "content").groupBy("content").agg(F.min("doc_id").alias("doc_id")).groupBy("doc_id").agg(F.collect_list("content").alias("want"))  # as many as a text has paragraphs
     need = cut(need)
     n = need.count()
     if not n:
         return pairs
     texts = docs.join(F.broadcast(need) if n <= BROADCAST_ROWS else need, "doc_id").select("text", "want")
-    sets = texts.mapInArrow(over_batches(set_maker(length, spread), SETS, weigh="text"), "content long, items binary")
-    full = pairs.join(sets.select(F.col("content").alias("a"), F.col("items").alias("xa")), "a").join(sets.select(F.col("content").alias("b"), F.col("items").alias("xb")), "b")
-    return cut(full.select("a", "b", "xa", "xb").mapInArrow(over_batches(confirmer(threshold), PAIRS, 8192), "a long, b long"))
+    sets = stored(texts.mapInArrow(over_batches(set_maker(length, spread), SETS, weigh="text"), "content long, items binary").dropDuplicates(["content"]))
+
+    def verified(some: DataFrame) -> DataFrame:
+        full = some.join(sets.select(F.col("content").alias("a"), F.col("items").alias("xa")), "a").join(sets.select(F.col("content").alias("b"), F.col("items").alias("xb")), "b")
+        return cut(full.select("a", "b", "xa", "xb").mapInArrow(over_batches(confirmer(threshold), PAIRS, 8192), "a long, b long"))
+
+    first = verified(pairs)
+    placed = mates.join(components(first), F.col("content") == F.col("node"), "left").select("key", "content", F.coalesce("component", "content").alias("c"))
+    placed = stored(placed)
+    mixed = placed.groupBy("key").agg(F.count("*").alias("members"), F.min("c").alias("x"), F.max("c").alias("y")).filter("members > 2 and x < y").select("key", "members")
+    left = stored(placed.join(mixed, "key"))
+
+    few = left.filter(f"members <= {CROWD}")
+    l, r = few.alias("l"), few.alias("r")
+    cross = l.join(r, (F.col("l.key") == F.col("r.key")) & (F.col("l.c") < F.col("r.c"))).select(F.least("l.content", "r.content").alias("a"), F.greatest("l.content", "r.content").alias("b")).distinct()
+    more = verified(cross.join(pairs, ["a", "b"], "left_anti"))
+
+    many = left.filter(f"members > {CROWD}").withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int")).join(sets, "content").withColumn("block", F.pmod(F.xxhash64("content"), F.col("blocks")).cast("int"))
+    many = many.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    many = many.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "content", "c", "items")
+    crowded = cut(many.groupBy("key", "i", "j").applyInArrow(block_linker(threshold), "a long, b long"))
+    return first.unionByName(more).unionByName(crowded)
 
 
 def runs(marked: DataFrame, length: int, spread: int) -> DataFrame:
