@@ -6,8 +6,8 @@ smallest hash among any ``SPREAD`` successive starts (minimizers). A passage of
 ``LENGTH + SPREAD - 1`` = 49 words or more therefore has a paragraph, the same wherever it is
 pasted; the mean distance of cut points is 15.5 words.
 
-A paragraph's set is its distinct 5-word shingles; those with fewer than ``LEAST_DISTINCT`` (text
-that repeats within itself) are left out. Bands of MinHash rows, as many as ``tune_bands`` says,
+A paragraph's set is its distinct 5-word shingles, however few. Where text repeats within itself,
+successive paragraphs of equal content that overlap are one, from the first word to the last. Bands of MinHash rows, as many as ``tune_bands`` says,
 give keys. Within a task a content that occurred already is not banded again (so a passage that
 half of all documents share reaches each key once per task); then rows of a key meet, contents are
 linked with the key's first and the preceding content, and every link between unequal contents is
@@ -39,7 +39,7 @@ from .common import Grid, components, cut, documents, mix, over_batches, small_b
 from .near_dedup import common_counts, hash_family
 
 LENGTH, SPREAD, SHINGLE, THRESHOLD, MISS, ROWS = 20, 30, 5, 0.8, 0.02, 2
-LEAST_DISTINCT, SEEN, BROADCAST_ROWS = 8, 1_000_000, 400_000
+SEEN, BROADCAST_ROWS = 1_000_000, 400_000
 CROWD, BLOCK = 32, 1024
 
 
@@ -58,24 +58,22 @@ def cut_points(s: np.ndarray, starts: int, spread: int) -> np.ndarray:
 
 
 def paragraphs(words: np.ndarray, length: int = LENGTH, spread: int = SPREAD):
-    """(cut points, shingle hashes of each paragraph, content hashes) of a text's word hashes."""
+    """(starts, shingle hashes, content hashes, ends) of the paragraphs of a text's word hashes."""
     n = len(words) - length + 1
     if n <= 0:
         return None
     s = window_hashes(words, SHINGLE)
     at = cut_points(s, n, spread)
     sets = s[at[:, None] + np.arange(length - SHINGLE + 1)]
-    order = np.sort(sets, axis=1)
-    distinct = 1 + (order[:, 1:] != order[:, :-1]).sum(axis=1)
-    keep = distinct >= LEAST_DISTINCT
-    at, sets = at[keep], sets[keep]
     content = np.zeros(len(at), np.uint64)
     for k in range(0, length - SHINGLE + 1, SHINGLE):
         content = mix(content * np.uint64(0x9E3779B97F4A7C15) + sets[:, k])
-    return at, sets, mix(content + sets[:, -1])
+    content = mix(content + sets[:, -1])
+    first = np.flatnonzero(np.append(True, (content[1:] != content[:-1]) | (np.diff(at) >= length)))
+    return at[first], sets[first], content[first], at[np.append(first[1:], len(at)) - 1] + length
 
 
-BANDED = pa.schema([("key", pa.list_(pa.int64())), ("repeat", pa.bool_()), ("content", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int32())])
+BANDED = pa.schema([("key", pa.list_(pa.int64())), ("repeat", pa.bool_()), ("content", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int32()), ("end", pa.int32())])
 
 
 def bander(bands: int, rows: int, length: int, spread: int):
@@ -88,21 +86,21 @@ def bander(bands: int, rows: int, length: int, spread: int):
             parts = [(np.full(len(p[0]), i), *p) for i, w in enumerate(grid.per_text(grid.hashes())) if (p := paragraphs(w, length, spread))]
             if not parts:
                 return None
-            text, at, sets, content = (np.concatenate(x) for x in zip(*parts))
+            text, at, sets, content, end = (np.concatenate(x) for x in zip(*parts))
             doc = np.array(batch.column(0).to_pylist(), np.int64)[text]
             content = content.view(np.int64)
             if len(seen) > SEEN:
                 seen.clear()
             fresh, again = [], []
-            for k, (c, d, a) in enumerate(zip(content.tolist(), doc.tolist(), at.tolist())):
+            for k, (c, d, a, e) in enumerate(zip(content.tolist(), doc.tolist(), at.tolist(), end.tolist())):
                 if c not in seen:
-                    seen[c] = (d, a)
+                    seen[c] = (d, a, e)
                     fresh.append(k)
                     continue
                 if seen[c]:  # the first occurrence is known as a repeat from now on
                     again.append((c, *seen[c]))
                     seen[c] = None
-                again.append((c, d, a))
+                again.append((c, d, a, e))
             fresh = np.array(fresh, np.int64)
             keys = np.empty((len(fresh), bands), np.uint64)
             for b in range(bands):
@@ -111,7 +109,7 @@ def bander(bands: int, rows: int, length: int, spread: int):
                     low = ((sets[fresh] ^ xor[b * rows + r]) * mul[b * rows + r]).min(axis=1)
                     key = mix(key * np.uint64(0x9E3779B97F4A7C15) + low)
                 keys[:, b] = key
-            own = [[int(np.int64(hash((d, a)))) ^ c] for c, d, a in again]  # spread over the partitions, meets nothing
+            own = [[int(np.int64(hash((d, a)))) ^ c] for c, d, a, _ in again]  # spread over the partitions, meets nothing
             flat = np.append(keys.view(np.int64).ravel(), np.array(own, np.int64).ravel())
             ends = np.append(np.arange(0, len(fresh) * bands + 1, bands), len(fresh) * bands + np.arange(1, len(own) + 1))
             col = lambda first, k: np.append(first[fresh], np.array([x[k] for x in again], first.dtype))
@@ -121,6 +119,7 @@ def bander(bands: int, rows: int, length: int, spread: int):
                 "content": col(content, 0),
                 "doc_id": col(doc, 1),
                 "start": col(at.astype(np.int32), 2),
+                "end": col(end.astype(np.int32), 3),
             }
 
         return f
@@ -215,20 +214,26 @@ def repeated_passages(docs: DataFrame, threshold: float = THRESHOLD, miss: float
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id is not null")
     small_batches(docs.sparkSession)
     bands = tune_bands(threshold, miss)
-    rows = docs.mapInArrow(over_batches(bander(bands, ROWS, length, spread), BANDED, weigh="text"), "key array<long>, repeat boolean, content long, doc_id long, start int")
-    rows = rows.select(F.explode("key").alias("key"), "repeat", "content", "doc_id", "start")
+    rows = docs.mapInArrow(over_batches(bander(bands, ROWS, length, spread), BANDED, weigh="text"), "key array<long>, repeat boolean, content long, doc_id long, start int, end int")
+    rows = rows.select(F.explode("key").alias("key"), "repeat", "content", "doc_id", "start", "end")
     w = Window.partitionBy("key").orderBy("content", "doc_id", "start")
     rows = rows.select("*", F.first("content").over(w).alias("lo"), F.lag("content").over(w).alias("prev"), F.lead("content").over(w).alias("next")).withColumn("hi", F.max("content").over(Window.partitionBy("key")))
-    hits = rows.filter("repeat or prev is not null or next is not null").select("content", "doc_id", "start", F.when(F.col("lo") != F.col("hi"), F.col("key")).alias("key"), F.when(F.col("lo") != F.col("content"), F.col("lo")).alias("lo"), F.when((F.col("prev") != F.col("content")) & (F.col("prev") != F.col("lo")), F.col("prev")).alias("prev"))
+    hits = rows.filter("repeat or prev is not null or next is not null").select("content", "doc_id", "start", "end", F.when(F.col("lo") != F.col("hi"), F.col("key")).alias("key"), F.when(F.col("lo") != F.col("content"), F.col("lo")).alias("lo"), F.when((F.col("prev") != F.col("content")) & (F.col("prev") != F.col("lo")), F.col("prev")).alias("prev"))
     hits = stored(hits)
-    units = stored(hits.select("content", "doc_id", "start").distinct())
+    units = stored(hits.select("content", "doc_id", "start", "end").distinct())
     pairs = stored(hits.select("content", F.explode(F.array("lo", "prev")).alias("o")).filter("o is not null").select(F.least("content", "o").alias("a"), F.greatest("content", "o").alias("b")).distinct())
     mates = hits.filter("key is not null").select("key", "content").distinct()
     label = components(links(docs, units, pairs, mates, threshold, length, spread))
-    units = stored(units.join(label, F.col("content") == F.col("node"), "left").select("content", "doc_id", "start", F.coalesce("component", "content").alias("passage")))
+    units = stored(units.join(label, F.col("content") == F.col("node"), "left").select("content", "doc_id", "start", "end", F.coalesce("component", "content").alias("passage")))
     where = F.struct("doc_id", "start")
     passages = cut(units.groupBy("passage").agg(F.min(where).alias("kept"), F.max("doc_id").alias("last")).filter(F.col("kept.doc_id") < F.col("last")).select("passage", "kept"))
-    marked = units.join(passages, "passage").select("doc_id", "start", F.col("kept.doc_id").alias("kept_doc_id"), (where != F.col("kept")).alias("removed"))
+    own = units.join(passages.withColumn("doc_id", F.col("kept.doc_id")), ["passage", "doc_id"])
+    chain = Window.partitionBy("passage", "doc_id").orderBy("start", "end")
+    reach = F.max("end").over(chain.rowsBetween(Window.unboundedPreceding, -1))
+    own = own.withColumn("gap", F.when(F.col("start") >= reach, 1).otherwise(0)).withColumn("gap", F.sum("gap").over(chain))
+    passages = cut(own.filter("gap = 0").groupBy("passage").agg(F.first("kept").alias("kept"), F.max("end").alias("to")))  # overlapping units are one copy
+    stays = (F.col("doc_id") == F.col("kept.doc_id")) & (F.col("start") < F.col("to"))
+    marked = units.join(passages, "passage").select("doc_id", "start", "end", F.col("kept.doc_id").alias("kept_doc_id"), (~stays).alias("removed"))
     return runs(marked.dropDuplicates(["doc_id", "start"]), length, spread)
 
 
@@ -268,9 +273,10 @@ def links(docs: DataFrame, units: DataFrame, pairs: DataFrame, mates: DataFrame,
 def runs(marked: DataFrame, length: int, spread: int) -> DataFrame:
     """Paragraphs of a document no farther apart than cut points can be are one run."""
     w = Window.partitionBy("doc_id").orderBy("start")
-    new = F.when((F.col("start") - F.lag("start").over(w) <= spread) & (F.col("removed") == F.lag("removed").over(w)), 0).otherwise(1)
+    reach = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    new = F.when((F.col("start") - (reach - length) <= spread) & (F.col("removed") == F.lag("removed").over(w)), 0).otherwise(1)
     numbered = marked.withColumn("new", new).withColumn("run", F.sum("new").over(w))
-    out = numbered.groupBy("doc_id", "run").agg(F.min("start").cast("long").alias("start_word"), (F.max("start") + length).cast("long").alias("end_word"), F.count("*").alias("paragraphs"), F.min("kept_doc_id").alias("kept_doc_id"), F.first("removed").alias("removed"))
+    out = numbered.groupBy("doc_id", "run").agg(F.min("start").cast("long").alias("start_word"), F.max("end").cast("long").alias("end_word"), F.count("*").alias("paragraphs"), F.min("kept_doc_id").alias("kept_doc_id"), F.first("removed").alias("removed"))
     return out.drop("run")
 
 

@@ -33,3 +33,18 @@ def test_small_and_crowded_buckets_give_the_same(spark, monkeypatch):
         monkeypatch.setattr(substring_dedup, "BLOCK", block)
         by[crowd, block] = sorted((r.doc_id, r.kept_doc_id, r.removed) for r in substring_dedup.repeated_passages(docs).collect())
     assert len(by[2, 7]) == 50 and len({str(x) for x in by.values()}) == 1
+
+
+def test_text_of_a_short_period_is_found_and_its_kept_copy_stays_whole(spark):
+    rng = random.Random(4)
+    rows = []
+    for k, period in enumerate((1, 2, 3, 5, 7, 11)):
+        line = prose(rng, period)
+        rows += [(10 * k + c, " ".join(prose(rng, 60) + line * (60 + 10 * c) + prose(rng, 60))) for c in range(2)]
+    docs = documents(spark, rows)
+    found = substring_dedup.repeated_passages(docs).collect()
+    assert {r.doc_id for r in found if not r.removed} == {10 * k for k in range(6)}
+    assert {r.doc_id for r in found if r.removed} == {10 * k + 1 for k in range(6)}
+    for r in found:
+        period = (1, 2, 3, 5, 7, 11)[r.doc_id // 10]
+        assert r.end_word - r.start_word > 60 * period - 60
