@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 MOST_CELLS = 20_000_000
 EPSILON = 1e-5
+#: Digits within which objectives of thresholds are compared.
+DIGITS = 12
 
 
 class Matrix:
@@ -105,7 +107,8 @@ def best_threshold(scores: np.ndarray, y: np.ndarray, fit: str = "auc", penaltie
     fn, tn = np.r_[0, np.cumsum(p)], np.r_[0, np.cumsum(n)]
     tp, fp = p.sum() - fn, n.sum() - tn
     at = np.r_[values, values[-1] + 1.0]
-    k = int(np.argmax(o := objective(fit, tp, fp, tn, fn, penalties)))
+    o = objective(fit, tp, fp, tn, fn, penalties)
+    k = int(np.argmax(np.round(o, DIGITS)))  # equal objectives that differ by rounding noise are ties
     return {"threshold": float(at[k]), "accuracy": float((tp[k] + tn[k]) / len(y)), "sensitivity": float(tp[k] / p.sum()), "specificity": float(tn[k] / n.sum()), "objective": float(o[k])}
 
 

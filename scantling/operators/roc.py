@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ..functions import metrics
 
 KEY = ("model_id",)
+#: Digits within which objectives of thresholds are compared: equal ones that differ by rounding noise are ties.
+DIGITS = 12
 
 
 def tie_groups(scores: DataFrame, key=KEY) -> DataFrame:
@@ -47,7 +49,7 @@ def best_threshold(scores: DataFrame, fit: str = "auc", penalties: tuple[float,
     """Per model the lowest threshold of the highest objective: ``threshold, accuracy, sensitivity, specificity, objective`` and counts."""
     tp, fp, tn, fn = (F.col(c) for c in ("tp", "fp", "tn", "fn"))
     c = candidates(scores, key).withColumn("objective", metrics.objective(fit, tp, fp, tn, fn, penalties))
-    first = F.row_number().over(Window.partitionBy(*key).orderBy(F.col("objective").desc(), "place"))
+    first = F.row_number().over(Window.partitionBy(*key).orderBy(F.round("objective", DIGITS).desc(), "place"))
     c = c.withColumn("first", first).filter("first = 1")
     return c.select(
         *key, "threshold", ((tp + tn) / (tp + fp + tn + fn)).alias("accuracy"), metrics.sensitivity(tp, fn).alias("sensitivity"),
@@ -62,7 +64,7 @@ def weighted_threshold(scores: DataFrame, fpr_penalty: float, fnr_penalty: float
     g = tie_groups(scores, key).select(*key, "score", F.coalesce(F.sum("p").over(before), F.lit(0)).alias("fn"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("tn"), F.sum("p").over(all_).alias("P"), F.sum("n").over(all_).alias("N"))
     sens, spec = (F.col("P") - F.col("fn")) / F.col("P"), F.col("tn") / F.col("N")
     g = g.filter("P > 0 and N > 0").select(*key, F.col("score").alias("threshold"), sens.alias("sensitivity"), spec.alias("specificity"), ((F.col("P") - F.col("fn") + F.col("tn")) / (F.col("P") + F.col("N"))).alias("accuracy"), metrics.balance(sens, spec, (fpr_penalty, fnr_penalty)).alias("objective"))
-    first = F.row_number().over(Window.partitionBy(*key).orderBy(F.col("objective").desc(), "threshold"))
+    first = F.row_number().over(Window.partitionBy(*key).orderBy(F.round("objective", DIGITS).desc(), "threshold"))
     return g.withColumn("first", first).filter("first = 1").drop("first")
 
 

@@ -84,7 +84,7 @@ def roc(fit: str = "auc", penalties: tuple[float, float] | None = None, source:
 c_{name} AS (SELECT {key}, score AS threshold, 0 AS place, pp AS tp, nn AS fp, 0::DOUBLE AS tn, 0::DOUBLE AS fn FROM g_{name} WHERE place = 1
   UNION ALL SELECT {key}, coalesce(nxt, score + 1), place, pp - cfn, nn - ctn, ctn, cfn FROM g_{name}),
 {name} AS (SELECT {key}, threshold, (tp + tn) / (tp + fp + tn + fn) AS accuracy, tp / (tp + fn) AS sensitivity, tn / (tn + fp) AS specificity, obj AS objective, tp, fp, tn, fn FROM (
-  SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY obj DESC, place) AS r FROM (SELECT *, {objective(fit, penalties)} AS obj FROM c_{name})) WHERE r = 1)"""
+  SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY round(obj, 12) DESC, place) AS r FROM (SELECT *, {objective(fit, penalties)} AS obj FROM c_{name})) WHERE r = 1)"""
 
 
 def rounded(columns: str, digits: int = 9) -> str:

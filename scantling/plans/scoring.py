@@ -171,7 +171,7 @@ query(
     f"""{SC}, g AS (SELECT *, coalesce(sum(p) OVER w, 0) AS fn, coalesce(sum(n) OVER w, 0) AS tn, sum(p) OVER (PARTITION BY model_id) AS pp, sum(n) OVER (PARTITION BY model_id) AS nn FROM (
       SELECT model_id, score, (count(*) FILTER (y = 1))::DOUBLE AS p, (count(*) FILTER (y = 0))::DOUBLE AS n FROM sc WHERE y IN (0, 1) GROUP BY 1, 2) WINDOW w AS (PARTITION BY model_id ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
     o AS (SELECT model_id, score AS threshold, (pp - fn) / pp AS sensitivity, tn / nn AS specificity, (pp - fn + tn) / (pp + nn) AS accuracy, (2.0::DOUBLE * (tn / nn) + 1.0::DOUBLE * ((pp - fn) / pp)) / 3.0::DOUBLE AS objective FROM g)
-    SELECT model_id, threshold, {base.rounded('accuracy, sensitivity, specificity, objective')} FROM (SELECT *, row_number() OVER (PARTITION BY model_id ORDER BY objective DESC, threshold) AS r FROM o) WHERE r = 1""",
+    SELECT model_id, threshold, {base.rounded('accuracy, sensitivity, specificity, objective')} FROM (SELECT *, row_number() OVER (PARTITION BY model_id ORDER BY round(objective, 12) DESC, threshold) AS r FROM o) WHERE r = 1""",
 )(lambda spark, sf: r(roc.weighted_threshold(scored(spark, sf), 2.0, 1.0), "accuracy", "sensitivity", "specificity", "objective"))
 
 CLASSES = "cl AS (SELECT model_id, sample_id, y, CASE WHEN score > 30 THEN 1 WHEN score < -30 THEN 0 ELSE 2 END AS c FROM sc)"
