@@ -46,6 +46,88 @@ def test_quality_verdicts(spark):
     assert passed.columns == documents(spark, []).columns
 
 
+CYRILLIC, HAN = "абвгдежзиклмнопрст", "的一是不了在人有我他这为之大来以个中上们到说国和地也子时道出而要于就下得可你年生"
+
+
+def language_rows(seed=11):
+    """Four languages of 150 words each, one of them rare; texts with a wrong label, junk and texts of few words."""
+    rng = random.Random(seed)
+
+    def words(letters, least, most):
+        return ["".join(rng.choice(letters) for _ in range(rng.randint(least, most))) for _ in range(150)]
+
+    sets = {"aa": words("aeioubcdst", 2, 6), "bb": words("eiourlmnvz", 3, 14), "ru": words(CYRILLIC, 2, 12), "zh": words(HAN, 1, 3), "rare": words("ωψχφυτσρπ", 2, 9)}
+
+    def text(lang, n):
+        return " ".join(rng.choice(sets[lang][: rng.choice((20, 150))]) for _ in range(n))
+
+    rows = [(100 * k + i, text(lang, rng.randint(60, 400)), lang) for k, lang in enumerate(("aa", "bb", "ru", "zh")) for i in range(40)]
+    rows += [(900, text("rare", 200), "rare"), (901, text("ru", 300), "aa"), (902, text("zh", 300), None), (903, " ".join("".join(rng.choice("#$%0123456789") for _ in range(7)) for _ in range(300)), "ru"), (904, text("ru", 30), "ru"), (905, "", "aa"), (906, None, "zh")]
+    rows += [(907, " ".join("q" + "xkjw"[rng.randrange(4)] * rng.randint(1, 9) for _ in range(300)), "bb")]
+    return rows
+
+
+def naive_quality(rows):
+    """Every text against its label's reference, then against all: distances from distributions as dictionaries."""
+    lower = lambda t: [w.lower() if w.isascii() else w for w in W.findall(t or "")]
+    by = {}
+    for _, text, lang in rows:
+        n, c = by.setdefault(lang, (Counter(), Counter()))
+        n.update(lower(text))
+        c.update(quality.CLASSES[quality.class_of(ord(x))] for x in text or "")
+    refs = {k: (n, c) for k, (n, c) in by.items() if sum(n.values()) >= quality.LEAST_WORDS}
+
+    def distance(p, q):
+        a, b = sum(p.values()), sum(q.values())
+        total = 0.0
+        for k in p.keys() | q.keys():
+            x, y = p[k] / a, q[k] / b
+            for z in (x, y):
+                total += z * math.log2(z / ((x + y) / 2)) / 2 if z else 0
+        return math.sqrt(max(0, total))
+
+    out = {}
+    for i, text, lang in rows:
+        w, n = lower(text), len(text or "")
+        chars = Counter(quality.CLASSES[quality.class_of(ord(x))] for x in text or "")
+
+        def judged(k, w=w, chars=chars):
+            known = refs[k][0]
+            return distance(chars, refs[k][1]), distance(Counter(x if x in known else "" for x in w), known)
+
+        def fits(c, d, w=w, n=n):
+            extra = quality.SLACK / math.sqrt(len(w))
+            return not (n >= quality.MIN_CHARS and c > quality.CHAR_LIMIT + extra or len(w) >= quality.MIN_WORDS and d > quality.WORD_LIMIT + extra)
+
+        best = None
+        if w and lang in refs:
+            best = (*judged(lang), lang)
+            if not fits(*best[:2]):
+                best = min(((*judged(k), k) for k in refs), key=lambda x: x[0] + x[1])
+        out[i] = (best, not naive_base(text)[-1] and (best is None or fits(*best[:2])))
+    return out
+
+
+def test_quality_distances_and_verdicts_equal_brute_force(spark):
+    rows = language_rows()
+    want = naive_quality(rows)
+    got = {r.doc_id: r for r in quality.quality(documents(spark, rows)).collect()}
+    assert got.keys() == want.keys()
+    for i, (best, kept) in want.items():
+        r = got[i]
+        assert r.kept == kept and (r.closest_lang is None) == (best is None), i
+        if best:
+            assert abs(r.char_distance - best[0]) < 1e-9 and abs(r.word_distance - best[1]) < 1e-9 and r.closest_lang == best[2], i
+    assert all(got[k].kept for k in (900, 901, 902)) and not any(got[k].kept for k in (903, 904, 905, 906))
+    assert got[901].closest_lang == "ru" and got[900].closest_lang is None
+
+
+def test_quality_with_few_references(spark):
+    docs = documents(spark, language_rows())
+    assert quality.references(docs, most=2).langs == sorted(quality.references(docs, most=2).langs) and 0 < len(quality.references(docs, most=2).langs) <= 2
+    assert set(quality.references(docs).langs) == {"aa", "bb", "ru", "zh"}
+
+
 def test_quality_empty(spark):
     assert quality.quality(documents(spark, [])).count() == 0
 
