@@ -25,7 +25,7 @@ def test_near_copies_in_a_crowded_bucket_equal_brute_force(spark):
 
 
 def test_small_and_crowded_buckets_give_the_same(spark, monkeypatch):
-    monkeypatch.setattr(substring_dedup, "tune_bands", lambda *a: 60)
+    monkeypatch.setattr(substring_dedup, "tune_bands", lambda: 60)
     docs = documents(spark, crowded_variants(n=25))
     by = {}
     for crowd, block in ((1000, 1024), (2, 1024), (2, 7)):
