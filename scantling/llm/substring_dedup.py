@@ -43,12 +43,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Grid, components, cut, documents, mix, over_batches, small_batches, stored, unused, window_hashes
+from .common import Grid, components, cut, documents, in_small_batches, mix, over_batches, stored, unused, window_hashes
 from .near_dedup import common_counts, hash_family
 
 LENGTH, SPREAD, SHINGLE, THRESHOLD, ROWS = 20, 30, 5, 0.8, 2
 #: Jaccard similarity of a paragraph and its copy with a middle word replaced, and how often such a pair may share no band.
-EDITED, MISS = 11 / 21, 0.15
+EDITED, MISS = 11 / 21, 0.28
 SEEN, BROADCAST_BYTES, SURE = 1_000_000, 48 << 20, 5
 CROWD, BLOCK = 32, 1024
 
@@ -274,10 +274,10 @@ def with_wanted(docs: DataFrame, want: DataFrame, size: str) -> DataFrame:
     return docs.join(F.broadcast(want) if small else want, "doc_id")
 
 
+@in_small_batches
 def repeated_passages(docs: DataFrame, threshold: float = THRESHOLD, bands: int | None = None, length: int = LENGTH, spread: int = SPREAD) -> DataFrame:
     """Runs of paragraphs of ``docs`` (doc_id, text) that other documents have too."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id is not null")
-    small_batches(docs.sparkSession)
     bands = bands or tune_bands()
     rows = docs.mapInArrow(over_batches(bander(bands, ROWS, length, spread), BANDED, weigh="text"), "key array<long>, repeat boolean, content long, doc_id long, start int, end int")
     rows = rows.select(F.explode("key").alias("key"), "repeat", "content", "doc_id", "start", "end")

@@ -10,8 +10,8 @@ if the first level it misses is odd (or it passes all of an odd number of levels
 Three lists: allow rules, block rules, block words. The longest rule that fits gives the verdict;
 without one, a url with a listed word is blocked, any other allowed. Only the filters (about
 ``1.44 * log2(1 / rate)`` bits a listed key) are sent to the tasks, and only up to ``MOST_KEYS``
-listed keys (checked); a longer list is cut into shards of that size, each read in a pass of its
-own, with the verdicts united at the end.
+listed keys (checked); a longer list is cut into shards of that size. Each shard is broadcast for a
+pass of its own, which reads the rows of the pass before from the shared folder.
 
 Edge cases: a null url, or one without ``://``, has empty host and path and no keys: it is
 allowed; null page ids and repeated rows are judged each; other columns are ignored; an empty
@@ -35,7 +35,7 @@ from .common import cut, over_batches, pages
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
 #: Words of a host or path that mark adult, gambling or spam pages.
 BLOCK_WORDS = ("porn", "xxx", "sex", "nude", "escort", "casino", "poker", "betting", "slots", "jackpot", "viagra", "cialis", "payday", "warez", "torrent", "malware", "phishing", "hentai")
-RATES = (1 / 16, 1 / 2)  # of level 0 and of the others
+RATES = (1 / 16, 1 / 2)  # of level 0 (at most) and of the others
 MOST_KEYS = 20_000_000
 
 WORD = re.compile(r"[a-z0-9]+")
@@ -146,10 +146,13 @@ def passing(keys: DataFrame, level: Bloom) -> DataFrame:
 def cascade(listed: DataFrame, universe: DataFrame, rates=RATES, most: int = MOST_KEYS) -> list[Bloom]:
     """Levels for the list ``listed`` (key) over ``universe`` (distinct keys)."""
     inside, outside, levels = cut(listed.select("key").distinct()), None, []
+    n = inside.count()
+    if n > most:
+        raise ValueError(f"{n} keys in a cascade; cut the list into shards of {most}")
+    # about as many others may pass level 0 as are listed, so that no level outgrows the list however large the universe is
+    first = min(rates[0], max(n, 64) / max(1, universe.count()))
     while n := inside.count():
-        if n > most:
-            raise ValueError(f"{n} keys in a cascade; cut the list into shards of {most}")
-        level = built(inside, n, rates[min(len(levels), 1)], len(levels))
+        level = built(inside, n, rates[1] if levels else first, len(levels))
         levels.append(level)
         if outside is None:  # the first time only: what passes outside the list, a small share of the universe
             outside = cut(passing(universe, level).join(inside, "key", "left_anti"))
@@ -182,49 +185,64 @@ def url_keys(rows: DataFrame, shape: Shape) -> DataFrame:
 JUDGED = pa.schema([("page_id", pa.int64()), ("host", pa.string()), ("path", pa.string()), ("rule", pa.string()), ("verdict", pa.string())])
 
 
-def url_filter(rows: DataFrame, rules=RULES, words=BLOCK_WORDS, listed_words: DataFrame | None = None) -> DataFrame:
+def url_filter(rows: DataFrame, rules=RULES, words=BLOCK_WORDS, listed_words: DataFrame | None = None, most: int = MOST_KEYS) -> DataFrame:
     """``page_id, host, path, rule, verdict`` for every row of ``rows`` (page_id, url).
 
     ``listed_words`` (key: string) adds words from a table to ``words``.
     """
     spark, shape = rows.sparkSession, Shape(rules)
-    universe = url_keys(rows, shape)
+    universe = url_keys(rows, shape)  # written: counted and read once per level 0
 
     def keys(values) -> DataFrame:
         return spark.createDataFrame([(v,) for v in values], "key string")
 
     allow = cascade(keys([h + p for v, h, p in rules if v == "allow"]), universe)
     block = cascade(keys([h + p for v, h, p in rules if v == "block"]), universe)
-    marks = keys(["\0" + w for w in words])
+    marks, shards = keys(["\0" + w for w in words]), 1
     if listed_words is not None:
-        marks = marks.unionByName(listed_words.select(F.concat(F.lit("\0"), F.lower("key")).alias("key")))
-    shards = max(1, ceil(marks.count() / MOST_KEYS)) if listed_words is not None else 1
-    word_levels = [cascade(marks.filter(F.pmod(F.xxhash64("key"), F.lit(shards)) == s), universe) for s in range(shards)]
+        marks = cut(marks.unionByName(listed_words.select(F.concat(F.lit("\0"), F.lower("key")).alias("key"))).distinct())
+        shards = max(1, ceil(1.1 * marks.count() / most))  # hashing deals them unevenly
+    rule_levels = spark.sparkContext.broadcast((allow, block))
 
-    def make():
+    def ruled():
         def f(batch):
             parsed = [split_url(u) for u in batch.column(1).to_pylist()]
             rule_keys = [shape.rule_keys(*p) for p in parsed]
-            marks = [word_keys(*p) for p in parsed]
-            flat, flat_marks = [k for x in rule_keys for k in x], [k for x in marks for k in x]
-            h, hm = hashed(flat), hashed(flat_marks)
-            ok, no = members(allow, h), members(block, h)
-            bad = np.zeros(len(hm), bool)
-            for levels in word_levels:
-                bad |= members(levels, hm)
-            rule, verdict, i, j = [], [], 0, 0
-            for own, mine in zip(rule_keys, marks):
+            flat = [k for x in rule_keys for k in x]
+            h = hashed(flat)
+            ok, no = (members(levels, h) for levels in rule_levels.value)
+            rule, verdict, i = [], [], 0
+            for own in rule_keys:
                 best = max((k for k in range(i, i + len(own)) if ok[k] or no[k]), key=lambda k: len(flat[k]), default=None)
                 rule.append(None if best is None else flat[best])
-                blocked = bad[j : j + len(mine)].any() if best is None else no[best]
-                verdict.append("block" if blocked else "allow")
-                i, j = i + len(own), j + len(mine)
+                verdict.append("block" if best is not None and no[best] else "allow")
+                i += len(own)
             hosts, paths = ([p[k] for p in parsed] for k in (0, 1))
             return {"page_id": batch.column(0), "host": hosts, "path": paths, "rule": rule, "verdict": verdict}
 
         return f
 
-    return rows.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url")).mapInArrow(over_batches(make, JUDGED, 4096), "page_id long, host string, path string, rule string, verdict string")
+    def worded(levels):
+        def make():
+            def f(batch):
+                col = {k: batch.column(k) for k in JUDGED.names}
+                open_ = [r is None and v == "allow" for r, v in zip(col["rule"].to_pylist(), col["verdict"].to_pylist())]
+                own = [word_keys(a, b) if o else () for a, b, o in zip(col["host"].to_pylist(), col["path"].to_pylist(), open_)]
+                bad = members(levels.value, hashed([k for x in own for k in x]))
+                ends = np.cumsum([len(x) for x in own])
+                verdict = ["block" if bad[e - len(x) : e].any() else v for x, e, v in zip(own, ends, col["verdict"].to_pylist())]
+                return col | {"verdict": verdict}
+
+            return f
+
+        return make
+
+    ddl = "page_id long, host string, path string, rule string, verdict string"
+    out = rows.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url")).mapInArrow(over_batches(ruled, JUDGED, 4096), ddl)
+    for s in range(shards):
+        levels = spark.sparkContext.broadcast(cascade(marks.filter(F.pmod(F.xxhash64("key"), F.lit(shards)) == s), universe, most=most))
+        out = (cut(out) if s else out).mapInArrow(over_batches(worded(levels), JUDGED, 4096), ddl)
+    return out
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -180,6 +180,17 @@ def test_cascade_is_exact_over_its_universe(spark):
     assert not url_filter.members(url_filter.cascade(to([]), to(keys)), url_filter.hashed(keys)).any()
 
 
+def test_listed_words_in_shards(spark):
+    rng = random.Random(8)
+    listed = [f"w{i}" for i in range(60)]
+    urls = [f"http://h{i}.net/{'-'.join(rng.choice(['w', 'v']) + str(rng.randrange(90)) for _ in range(3))}" for i in range(200)] + ["http://x.net/" + "w1/" * 30_000, "http://" + "a." * 40_000 + "org/w1"]
+    rows = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r.page_id: (r.rule, r.verdict) for r in url_filter.url_filter(rows, listed_words=spark.createDataFrame([(w.upper(),) for w in listed], "key string"), most=40).collect()}
+    for i, u in enumerate(urls[:-1]):
+        assert got[i] == (None, "block" if set(re.findall("[a-z0-9]+", u)) & set(listed) else "allow")
+    assert got[len(urls) - 1] == ("org/", "allow") and {v for _, v in got.values()} == {"allow", "block"}
+
+
 def test_url_filter_empty(spark):
     assert url_filter.url_filter(spark.createDataFrame([], "page_id long, url string")).count() == 0
 
