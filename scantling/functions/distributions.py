@@ -88,3 +88,31 @@ def binomial_interval(p: float, n: int, alpha: float, method: str = "wald") -> t
         x = round(p * n)
         return (0.0 if x == 0 else beta_quantile(alpha / 2, x, n - x + 1)), (1.0 if x == n else beta_quantile(1 - alpha / 2, x + 1, n - x))
     raise ValueError(method)
+
+
+def truncated_normal(mean: float, deviation: float, u: float, positive: bool = True) -> float:
+    """A normal value above 0 (or below it) from a uniform draw ``u`` in (0, 1), by the inverse distribution."""
+    unit = NormalDist()
+    below = unit.cdf(-mean / deviation)
+    share = below + u * (1 - below) if positive else u * below
+    value = mean + deviation * unit.inv_cdf(min(max(share, 1e-300), 1 - 1e-16))
+    return max(value, 0.0) if positive else min(value, 0.0)
+
+
+def golden_section(f, low: float = -1e4, high: float = 1e4, tolerance: float = 1e-6, steps: int = 50) -> float:
+    """Where a unimodal function is smallest: the interval shrinks by the golden ratio."""
+    ratio = (5**0.5 - 1) / 2
+    a, b = high - ratio * (high - low), low + ratio * (high - low)
+    fa, fb = f(a), f(b)
+    for _ in range(steps):
+        if high - low <= tolerance:
+            break
+        if fa < fb:
+            high, b, fb = b, a, fa
+            a = high - ratio * (high - low)
+            fa = f(a)
+        else:
+            low, a, fa = a, b, fb
+            b = low + ratio * (high - low)
+            fb = f(b)
+    return (low + high) / 2

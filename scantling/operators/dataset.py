@@ -33,6 +33,31 @@ def remove_class(samples: DataFrame, label: float) -> DataFrame:
     return samples.filter(F.col("y") != label)
 
 
+def name_classes(samples: DataFrame, names: tuple[str, ...]) -> DataFrame:
+    """``sample_id, y, class``: the configured name of each label; labels beyond the names have none."""
+    label = F.element_at(F.array(*map(F.lit, names)), F.col("y").cast("int") + 1)
+    return samples.withColumn("class", F.when((F.col("y") >= 0) & (F.col("y") < len(names)), label))
+
+
+def transformed(x: DataFrame, data_type: str, epsilon: float = 1e-5) -> DataFrame:
+    """Values as a chain reads them: raw, presence above ``epsilon``, or log of value over ``epsilon`` (0 for values that have none)."""
+    v = F.col("value")
+    how = {"raw": v, "prevalence": F.when(v > epsilon, 1.0).otherwise(0.0), "log": F.when(v > 0, F.log(v / epsilon)).otherwise(0.0)}
+    if data_type not in how:
+        raise ValueError(f"no value-wise reading of {data_type}")
+    return x.withColumn("value", how[data_type])
+
+
+def selected(x: DataFrame, selection: DataFrame) -> DataFrame:
+    """The values of selected features (feature_id)."""
+    return x.join(selection.select("feature_id"), "feature_id", "left_semi").select(*x.columns)
+
+
+def with_values(x: DataFrame, samples: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The same samples and labels with other values: those of unknown samples are dropped."""
+    return x.join(samples.select("sample_id"), "sample_id", "left_semi").select(*x.columns), samples
+
+
 def subset(x: DataFrame, samples: DataFrame, chosen: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Samples by a list with order and repetition (position, sample_id); new ids are positions."""
     own = chosen.join(samples, "sample_id").select(F.col("position").alias("sample_id"), F.col("sample_id").alias("of"), "y")

@@ -57,3 +57,13 @@ def summaries(values: DataFrame, value: str, key: str) -> DataFrame:
     med = values.groupBy(key).agg(F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"), F.median(value).alias("median"))
     mad = values.join(med.select(key, "median"), key).groupBy(key).agg((F.median(F.abs(F.col(value) - F.col("median"))) * 1.4826).alias("mad"))
     return med.join(mad, key)
+
+
+def coefficient_deviations(x: DataFrame, scores: DataFrame, ridge: float) -> DataFrame:
+    """``feature_id, sigma``: 1 / sqrt(sum over samples of s(z) s(-z) value^2 + ridge), s the logistic function.
+
+    ``scores``: sample_id, z. Samples without a value add nothing.
+    """
+    z = F.col("z")
+    weight = 1 / ((1 + F.exp(-z)) * (1 + F.exp(z)))
+    return x.join(scores, "sample_id").groupBy("feature_id").agg((1 / F.sqrt(F.sum(weight * F.col("value") * F.col("value")) + ridge)).alias("sigma"))

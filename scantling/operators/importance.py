@@ -49,3 +49,10 @@ def pruned(models: DataFrame, importance: DataFrame, threshold: float, min_k: in
 def top_share(importance: DataFrame, share: float) -> DataFrame:
     """The most important share of features, one at least."""
     return importance.orderBy(F.col("importance").desc(), "feature_id").limit(max(1, ceil(importance.count() * share)))
+
+
+def of(importances: DataFrame, feature_id: int | None = None, least: float | None = None) -> DataFrame:
+    """The rows of one feature, or of at least some importance."""
+    if feature_id is not None:
+        importances = importances.filter(F.col("feature_id") == feature_id)
+    return importances if least is None else importances.filter(F.col("importance") >= least)

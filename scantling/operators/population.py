@@ -85,6 +85,11 @@ def compatible_coefficients(models: DataFrame, language: str) -> DataFrame:
     return models.select("model_id", F.forall("terms", fits).alias("ok"))
 
 
+def with_key(models: DataFrame, key: str) -> DataFrame:
+    """The models of a term key."""
+    return models.filter(F.col("term_key") == key)
+
+
 def jaccard_pairs(models: DataFrame) -> DataFrame:
     """Signed Jaccard dissimilarity of every pair of models that share a term (any other pair: 1)."""
     t = models.select("model_id", F.size("terms").alias("k"), F.explode("terms").alias("t"))

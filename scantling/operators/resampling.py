@@ -102,3 +102,14 @@ def shuffled_feature(x: DataFrame, samples: DataFrame, features: DataFrame, perm
     places = places.withColumn("_u", draw(seed, "mda", "feature_id", "permutation", "sample_id")).withColumn("place", F.row_number().over(w))
     values = x.join(samples.select("sample_id"), "sample_id", "left_semi").withColumn("place", F.row_number().over(Window.partitionBy("feature_id").orderBy("sample_id"))).select("feature_id", "place", "value")
     return places.join(values, ["feature_id", "place"]).select("feature_id", "permutation", "sample_id", "value")
+
+
+def rebuilt(folds: DataFrame, samples: DataFrame) -> DataFrame:
+    """``fold, sample_id, y`` of folds stored by sample name; a name that no sample has is an error.
+
+    ``folds``: fold, name. ``samples``: sample_id, name, y.
+    """
+    lost = folds.join(samples, "name", "left_anti").count()
+    if lost:
+        raise ValueError(f"{lost} samples of the folds are not in the data")
+    return folds.join(samples, "name").select("fold", "sample_id", "y")

@@ -16,20 +16,23 @@ KEY_SQL = "array_to_string(list(f || ':' || c ORDER BY f), ',')"
 KEYS = f"keys AS (SELECT model_id, count(*) AS k, {KEY_SQL} AS term_key FROM terms GROUP BY 1)"
 
 
-def pop_sql(n=N):
-    return f"WITH {base.X}, {base.SAMPLES}, {base.terms(n)}, {base.scores()}, {base.auc()}, {base.roc('auc')}, {KEYS}, pop AS (SELECT keys.model_id, k, term_key, round(auc, 9) AS auc, round(sensitivity, 9) AS sensitivity, round(specificity, 9) AS specificity, round(accuracy, 9) AS accuracy, threshold, round(auc - k * 0.001::DOUBLE, 9) AS fit FROM keys JOIN aucs USING (model_id) JOIN best USING (model_id))"
+def pop_sql(n=N, per_term=0.001):
+    return f"WITH {base.X}, {base.SAMPLES}, {base.terms(n)}, {base.scores()}, {base.auc()}, {base.roc('auc')}, {KEYS}, pop AS (SELECT keys.model_id, k, term_key, round(auc, 9) AS auc, round(sensitivity, 9) AS sensitivity, round(specificity, 9) AS specificity, round(accuracy, 9) AS accuracy, threshold, round(auc - k * {per_term}::DOUBLE, 9) AS fit FROM keys JOIN aucs USING (model_id) JOIN best USING (model_id))"
 
 
-def fitted(spark, sf, n=N):
+def fitted(spark, sf, n=N, per_term=0.001):
     """Sign models with raw scores: size, key, AUC, threshold metrics, and AUC less size as fit."""
     m = fx.models(fx.abundance(spark, sf), n).withColumn("k", F.size("terms").cast("long")).withColumn("term_key", population.term_key())
     s = scored(spark, sf, n=n)
     own = m.join(r(roc.auc(s), "auc"), "model_id").join(r(roc.best_threshold(s), "accuracy", "sensitivity", "specificity").select("model_id", "threshold", "accuracy", "sensitivity", "specificity"), "model_id")
-    return own.withColumn("fit", F.round(F.col("auc") - F.col("k") * F.lit(0.001), 9))
+    return own.withColumn("fit", F.round(F.col("auc") - F.col("k") * F.lit(per_term), 9))
 
 
 RANKED = "ranked AS (SELECT *, row_number() OVER (ORDER BY round(fit / 1e-6::DOUBLE) DESC, term_key DESC, model_id) - 1 AS rank FROM pop)"
 P = f"{pop_sql()}, {RANKED}"
+#: What a term costs where families shall differ from the whole population.
+SPREAD = 0.05
+SP = f"{pop_sql(per_term=SPREAD)}, {RANKED}"
 query("population_sort", f"{P} SELECT model_id, fit, rank FROM ranked")(lambda spark, sf: population.ranked(fitted(spark, sf)).select("model_id", "fit", "rank"))
 query("first_pct", f"{P} SELECT model_id, rank FROM ranked WHERE rank < floor((SELECT count(*) FROM pop) * 15 / 100)")(lambda spark, sf: population.first_pct(fitted(spark, sf), 15).select("model_id", "rank"))
 query("keep_n_best", f"{P} SELECT model_id, rank FROM ranked WHERE rank < 7")(lambda spark, sf: population.keep_best(fitted(spark, sf), 7).select("model_id", "rank"))
@@ -42,10 +45,13 @@ _LOWER = {
     "agresti": f"(p * n + {_Z} * {_Z} / 2) / (n + {_Z} * {_Z}) - {_Z} * sqrt((p * n + {_Z} * {_Z} / 2) / (n + {_Z} * {_Z}) * (1 - (p * n + {_Z} * {_Z} / 2) / (n + {_Z} * {_Z})) / (n + {_Z} * {_Z}))",
 }
 for _name, _method in (("wald", "wald"), ("continuity", "wald_continuity"), ("wilson", "wilson"), ("agresti", "agresti_coull")):
-    query(f"fbm_{_name}", f"{P}, b AS (SELECT greatest(0, {_LOWER[_name]}) AS bound FROM (SELECT fit AS p, (SELECT count(*) FROM pop)::DOUBLE AS n FROM ranked WHERE rank = 0)) SELECT model_id, rank FROM (SELECT *, min(fit) OVER (ORDER BY rank) AS low FROM ranked) WHERE low > (SELECT bound FROM b)")(
-        lambda spark, sf, m=_method: population.family(fitted(spark, sf), 0.05, m).select("model_id", "rank")
+    query(f"fbm_{_name}", f"{SP}, b AS (SELECT greatest(0, {_LOWER[_name]}) AS bound FROM (SELECT fit AS p, (SELECT count(*) FROM pop)::DOUBLE AS n FROM ranked WHERE rank = 0)) SELECT model_id, rank FROM (SELECT *, min(fit) OVER (ORDER BY rank) AS low FROM ranked) WHERE low > (SELECT bound FROM b)")(
+        lambda spark, sf, m=_method: population.family(fitted(spark, sf, per_term=SPREAD), 0.05, m).select("model_id", "rank")
     )
-query("fbm_clopper_pearson")(lambda spark, sf: population.family(fitted(spark, sf), 0.05, "clopper_pearson").select("model_id", "rank"))
+query("fbm_clopper_pearson")(lambda spark, sf: population.family(fitted(spark, sf, per_term=SPREAD), 0.05, "clopper_pearson").select("model_id", "rank"))
+
+#: The Wald family as a table.
+FAMILY = f"{SP}, b AS (SELECT greatest(0, {_LOWER['wald']}) AS bound FROM (SELECT fit AS p, (SELECT count(*) FROM pop)::DOUBLE AS n FROM ranked WHERE rank = 0)), family AS (SELECT * FROM (SELECT *, min(fit) OVER (ORDER BY rank) AS low FROM ranked) WHERE low > (SELECT bound FROM b))"
 
 M = f"WITH {base.X}, {base.terms(N)}, {KEYS}"
 
@@ -54,10 +60,19 @@ def keyed(spark, sf, n=N):
     return fx.models(fx.abundance(spark, sf), n).withColumn("term_key", population.term_key())
 
 
+#: Every fourth model keeps its positive terms only.
+ONE_SIDED = "sided AS (SELECT * FROM terms WHERE model_id % 4 > 0 OR c > 0)"
+
+
+def one_sided(spark, sf):
+    return keyed(spark, sf).withColumn("terms", F.when(F.col("model_id") % 4 == 0, F.filter("terms", lambda t: t["c"] > 0)).otherwise(F.col("terms"))).filter("size(terms) > 0")
+
+
 query("remove_clones", f"{M} SELECT model_id, term_key FROM (SELECT *, row_number() OVER (PARTITION BY term_key ORDER BY model_id) AS n FROM keys) WHERE n = 1")(lambda spark, sf: population.remove_clones(keyed(spark, sf)).select("model_id", "term_key"))
-query("remove_stillborn", f"{M} SELECT model_id FROM terms GROUP BY 1 HAVING max(c) > 0 AND min(c) < 0")(lambda spark, sf: population.remove_stillborn(keyed(spark, sf), "ternary").select("model_id"))
-query("remove_out_of_bounds", f"{M} SELECT model_id FROM keys WHERE k BETWEEN 6 AND 7")(lambda spark, sf: population.remove_out_of_bounds(keyed(spark, sf), 6, 7).select("model_id"))
-query("compatible_coefficients", f"{M} SELECT model_id, min(c) >= 1 AS ok FROM terms GROUP BY 1")(lambda spark, sf: population.compatible_coefficients(keyed(spark, sf), "binary"))
+query("remove_stillborn", f"{M}, {ONE_SIDED} SELECT model_id FROM sided GROUP BY 1 HAVING max(c) > 0 AND min(c) < 0")(lambda spark, sf: population.remove_stillborn(one_sided(spark, sf), "ternary").select("model_id"))
+query("remove_out_of_bounds", f"{M}, {ONE_SIDED} SELECT model_id FROM sided GROUP BY 1 HAVING count(*) BETWEEN 3 AND 6")(lambda spark, sf: population.remove_out_of_bounds(one_sided(spark, sf), 3, 6).select("model_id"))
+query("compatible_coefficients", f"{M}, {ONE_SIDED} SELECT model_id, min(c) >= 1 AS ok FROM sided GROUP BY 1")(lambda spark, sf: population.compatible_coefficients(one_sided(spark, sf), "binary"))
+query("model_by_key", f"{M} SELECT model_id, term_key FROM keys WHERE term_key = (SELECT term_key FROM keys WHERE model_id = 7)")(lambda spark, sf: (lambda m: population.with_key(m, m.filter("model_id = 7").first()["term_key"]).select("model_id", "term_key"))(keyed(spark, sf)))
 query("union_and_term_key", f"{M} SELECT term_key, count(*) AS n FROM (SELECT * FROM keys UNION ALL SELECT * FROM keys WHERE model_id % 2 = 0) GROUP BY 1")(lambda spark, sf: (lambda m: m.unionByName(m.filter("model_id % 2 = 0")).groupBy("term_key").agg(F.count("*").alias("n")))(keyed(spark, sf)))
 PAIRS = "prs AS (SELECT a.model_id AS a, b.model_id AS b, count(*) AS n FROM terms a JOIN terms b ON a.f = b.f AND a.c = b.c AND a.model_id < b.model_id GROUP BY 1, 2)"
 query("jaccard_pairs", f"{M}, {PAIRS} SELECT a, b, round(1 - n::DOUBLE / (ka.k + kb.k - n), 9) AS dissimilarity FROM prs JOIN keys ka ON ka.model_id = a JOIN keys kb ON kb.model_id = b")(lambda spark, sf: r(population.jaccard_pairs(keyed(spark, sf)), "dissimilarity"))
@@ -149,11 +164,17 @@ def fdr_sql(alpha, tests="tests"):
     return f"ti AS (SELECT *, row_number() OVER (ORDER BY p, feature_id) AS i, count(*) OVER () AS n FROM {tests}), tk AS (SELECT *, {ks} FROM ti), fd AS (SELECT * FROM tk WHERE i <= CASE {pick} ELSE least(10, n) END)"
 
 
+#: Labels that the first components carry: whether their sum is positive.
+CARRIED = "samples AS (SELECT vec_id AS sample_id, CASE WHEN list_sum(list_transform(embedding[1:30], lambda v: CAST(v AS DOUBLE))) > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS y FROM embeddings)"
+
+
 def wide_tests(spark, sf):
-    return screening.wilcoxon(fx.vectors(spark, sf), fx.vector_samples(spark, sf))
+    total = F.aggregate(F.slice("embedding", 1, 30), F.lit(0.0), lambda a, v: a + v.cast("double"))
+    carried = fx.table(spark, sf, "embeddings").select(F.col("vec_id").alias("sample_id"), F.when(total > 0, 1.0).otherwise(0.0).alias("y"))
+    return screening.wilcoxon(fx.vectors(spark, sf), carried)
 
 
-V_TESTS = f"WITH {base.V}, {base.V_SAMPLES}, {WILCOXON}"
+V_TESTS = f"WITH {base.V}, {CARRIED}, {WILCOXON}"
 query("fdr_adaptive", f"{V_TESTS}, {fdr_sql(0.05)} SELECT feature_id, round(p, 8) AS p FROM fd")(lambda spark, sf: r(screening.false_discovery(wide_tests(spark, sf), 0.05).select("feature_id", "p"), "p", digits=8))
 query("select_features", f"{V_TESTS}, {fdr_sql(0.05)}, se AS (SELECT *, row_number() OVER (PARTITION BY class ORDER BY p, feature_id) AS place FROM fd WHERE class < 2) SELECT feature_id, class, round(p, 8) AS significance, row_number() OVER (ORDER BY class, place) - 1 AS rank FROM se WHERE place <= 5")(lambda spark, sf: r(screening.select_features(wide_tests(spark, sf), 0.05, 5), "significance", digits=8))
 query("select_features_regression", f"WITH {base.A}, {base.A_SAMPLES}, sh AS (SELECT feature_id, (count(*) FILTER (value > 0))::DOUBLE / (SELECT count(*) FROM samples) AS s FROM x JOIN samples USING (sample_id) GROUP BY 1) SELECT feature_id, 0 AS class, round(s, 9) AS significance, row_number() OVER (ORDER BY feature_id) - 1 AS rank FROM sh WHERE s >= 0.9")(lambda spark, sf: r(screening.select_for_regression(fx.activity(spark, sf), fx.activity_samples(spark, sf), 0.9), "significance"))

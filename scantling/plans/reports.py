@@ -18,7 +18,7 @@ _FORMULA = "CASE WHEN count(*) FILTER (c > 0) = 0 THEN '0' ELSE '(' || string_ag
 _SHOW = ", ".join(f"printf('%.6f', {c}) AS {c}" for c in reports.METRICS)
 query("report_best_model", f"{ranking.P}, fo AS (SELECT model_id, {_FORMULA} AS model FROM terms GROUP BY 1) SELECT 'best_model' AS section, model, CAST(k AS VARCHAR) AS k, {_SHOW} FROM ranked JOIN fo USING (model_id) WHERE rank = 0")(lambda spark, sf: reports.best_model(population.ranked(fitted(spark, sf))))
 _AVG = ", ".join(f"printf('%.6f', avg({c})) AS {c}" for c in reports.METRICS)
-query("report_fbm", f"{ranking.P} SELECT 'fbm' AS section, count(*) || ' models' AS model, printf('%.6f', avg(k)) AS k, {_AVG} FROM ranked")(lambda spark, sf: reports.family_mean(fitted(spark, sf)))
+query("report_fbm", f"{ranking.FAMILY} SELECT 'fbm' AS section, count(*) || ' models' AS model, printf('%.6f', avg(k)) AS k, {_AVG} FROM family")(lambda spark, sf: reports.family_mean(fitted(spark, sf, per_term=ranking.SPREAD)))
 
 
 def jury_report(spark, sf):

@@ -135,3 +135,8 @@ JM = f"{VOTES}, {COUNTED}, {MAJ}, k AS (SELECT 0 AS model_id, (count(*) FILTER (
 query("jury_metrics", f"{JM} SELECT round({_D.format(a='tp + tn', b='tp + fp + tn + fn')}, 9) AS accuracy, round({_D.format(a='tp', b='tp + fn')}, 9) AS sensitivity, round({_D.format(a='tn', b='tn + fp')}, 9) AS specificity, round(abstained::DOUBLE / samples, 9) AS rejection_rate FROM k")(
     lambda spark, sf: r(roc.class_metrics(voting.majority(votes(spark, sf), experts(spark, sf), 0.5, 5.0).withColumn("model_id", F.lit(0))).select("accuracy", "sensitivity", "specificity", "rejection_rate"), "accuracy", "sensitivity", "specificity", "rejection_rate")
 )
+
+query("cv_rebuilt_by_name", f"WITH {base.SAMPLES}, fo AS (SELECT sample_id, {chunk_sql(3)} AS fold FROM {places('fold', ['y'])}) SELECT fold, sample_id, y FROM fo JOIN samples USING (sample_id)")(
+    lambda spark, sf: (lambda s: resampling.rebuilt(resampling.folds(s, 3, SEED).select("fold", F.concat(F.lit("s"), "sample_id").alias("name")), s.withColumn("name", F.concat(F.lit("s"), "sample_id"))))(fx.abundance_samples(spark, sf))
+)
+query("importance_of_feature", f"{MDA} SELECT model_id, feature_id, round(importance, 9) AS importance FROM im WHERE feature_id = (SELECT min(feature_id) FROM im) AND round(importance, 9) >= -1")(lambda spark, sf: (lambda i: importance.of(i, i.agg(F.min("feature_id")).first()[0], -1.0))(r(mda(spark, sf), "importance")))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import metrics, scoring
-from ..operators import dataset, roc, scores
+from ..operators import dataset, fitness, roc, scores
 from ..sources import fixtures as fx
 from . import base
 from .base import query
@@ -195,3 +195,15 @@ query("rejection_rate", f"{SC}, {COUNTS} SELECT model_id, round(abstained::DOUBL
 query("convert_language", f"WITH {base.X}, {base.terms(N)} SELECT model_id, f, 1 AS as_binary, CAST(sign(c * (1 << (f % 7))) AS INT) AS as_ternary, c * (1 << (f % 7)) AS as_pow2 FROM terms")(
     lambda spark, sf: models(spark, sf).select("model_id", F.explode("terms").alias("t")).select("model_id", "t.f", recoded("pow2", F.col("t.f"), F.col("t.c")).alias("as_pow2")).select("model_id", "f", scoring.convert("binary", F.col("as_pow2")).alias("as_binary"), scoring.convert("ternary", F.col("as_pow2")).alias("as_ternary"), "as_pow2")
 )
+
+NAMES = ("control", "case", "unknown")
+query("class_names", f"WITH {base.SAMPLES} SELECT sample_id, y, CASE y WHEN 0 THEN 'control' WHEN 1 THEN 'case' WHEN 2 THEN 'unknown' END AS class FROM samples")(lambda spark, sf: dataset.name_classes(fx.abundance_samples(spark, sf), NAMES))
+query("values_log", f"WITH {base.V} SELECT sample_id, feature_id, round(CASE WHEN value > 0 THEN ln(value / 0.001::DOUBLE) ELSE 0 END, 9) AS value FROM x")(lambda spark, sf: r(dataset.transformed(fx.vectors(spark, sf), "log", 0.001), "value"))
+query("values_prevalence", f"WITH {base.X} SELECT sample_id, feature_id, CASE WHEN value > 20 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS value FROM x")(lambda spark, sf: dataset.transformed(fx.abundance(spark, sf), "prevalence", 20.0))
+query("values_of_selected_features", f"WITH {base.X}, se AS (SELECT feature_id FROM x GROUP BY 1 HAVING count(*) % 2 = 1) SELECT * FROM x SEMI JOIN se USING (feature_id)")(
+    lambda spark, sf: (lambda x: dataset.selected(x, x.groupBy("feature_id").agg(F.count("*").alias("n")).filter("n % 2 = 1")))(fx.abundance(spark, sf))
+)
+query("values_of_known_samples", f"WITH {base.X}, {base.SAMPLES} SELECT * FROM x SEMI JOIN (SELECT sample_id FROM samples WHERE y < 2) USING (sample_id)")(lambda spark, sf: dataset.with_values(fx.abundance(spark, sf), fx.abundance_samples(spark, sf).filter("y < 2"))[0])
+query("coefficient_deviations", f"WITH {base.X}, {base.SAMPLES}, {base.terms(1)}, {base.scores()}, z AS (SELECT sample_id, score / 100 AS z FROM sc) SELECT feature_id, round(1 / sqrt(sum(value * value / ((1 + exp(-z)) * (1 + exp(z)))) + 0.5::DOUBLE), 9) AS sigma FROM x JOIN z USING (sample_id) GROUP BY 1")(
+    lambda spark, sf: r(fitness.coefficient_deviations(fx.abundance(spark, sf), scored(spark, sf, n=1).select("sample_id", (F.col("score") / 100).alias("z")), 0.5), "sigma")
+)

@@ -41,3 +41,12 @@ def test_entry(spark):
     import __spark_entry__
 
     assert __spark_entry__.entry(spark).count() > 0
+
+
+FILTERS = {"fbm_wald": 80, "fbm_wilson": 80, "remove_stillborn": 80, "remove_out_of_bounds": 80, "fdr_adaptive": 64, "select_features": 64}
+
+
+@needs_data
+@pytest.mark.parametrize("name", FILTERS)
+def test_filters_keep_some_and_remove_some(spark, name):
+    assert 0 < catalogue.queries()[name](spark, SF).count() < FILTERS[name]

@@ -218,3 +218,22 @@ def test_store(spark, tmp_path):
 def test_languages_reject_what_they_lack():
     with pytest.raises(ValueError):
         scoring.score("ternary", "zscore")
+
+
+def test_golden_section_and_truncated_normal():
+    from scantling.functions.distributions import golden_section, truncated_normal
+
+    assert abs(golden_section(lambda v: (v - 3.25) ** 2) - 3.25) < 1e-5
+    draws = [(k + 0.5) / 2000 for k in range(2000)]
+    for mean, deviation in ((0.5, 1.0), (-2.0, 0.7), (3.0, 0.5)):
+        up, down = ([truncated_normal(mean, deviation, u, side) for u in draws] for side in (True, False))
+        assert min(up) >= 0 >= max(down) and up == sorted(up)
+    assert abs(np.mean([truncated_normal(0.0, 1.0, u) for u in draws]) - math.sqrt(2 / math.pi)) < 1e-2
+
+
+def test_folds_with_unknown_names_are_an_error(spark):
+    from scantling.operators import resampling
+
+    samples = spark.createDataFrame([(1, "a", 0.0)], "sample_id long, name string, y double")
+    with pytest.raises(ValueError, match="1 samples"):
+        resampling.rebuilt(spark.createDataFrame([(0, "a"), (1, "b")], "fold int, name string"), samples).count()
