@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import base, ranking, reports, resampling, scoring, search  # noqa: F401  the modules register their queries
+from . import base, ranking, reports, resampling, runs, scoring, search  # noqa: F401  the modules register their queries
 
 FLAGSHIP = "auc_ties"
 

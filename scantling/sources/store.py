@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 class General:
     seed: int = 4815162342
     algo: str = "ga"
-    language: str = "binary"
+    language: str = "ternary"
     data_type: str = "raw"
     epsilon: float = 1e-5
     fit: str = "auc"
@@ -35,13 +35,98 @@ class Data:
 
 
 @dataclass
-class Search:
-    k_min: int = 1
-    k_max: int = 200
+class Beam:
+    k_start: int = 1
+    k_stop: int = 4
+    method: str = "exhaustive"
+    criterion: float = 10.0
+    most: int = 10_000
+
+
+@dataclass
+class Genetic:
     size: int = 5000
     epochs: int = 200
-    max_models: int = 10_000
-    criterion: float = 10.0
+    k_min: int = 1
+    k_max: int = 200
+    elite_pct: float = 2.0
+    random_pct: float = 2.0
+    max_age: int = 10
+    diversity_pct: float = 0.0
+
+
+@dataclass
+class Ants:
+    ants: int = 100
+    iterations: int = 200
+    k_min: int = 1
+    k_max: int = 200
+    rho: float = 0.1
+    elite_weight: float = 2.0
+
+
+@dataclass
+class Annealing:
+    chains: int = 8
+    steps: int = 10_000
+    k: int = 5
+    k_max: int = 200
+    hot: float = 1.0
+    cold: float = 1e-3
+    rate: float = 0.995
+
+
+@dataclass
+class LocalSearch:
+    chains: int = 8
+    steps: int = 3000
+    k: int = 5
+    k_max: int = 200
+    kicks: int = 3
+
+
+@dataclass
+class Lasso:
+    alphas: int = 100
+    high: float = 1.0
+    low: float = 0.001
+    l1_ratio: float = 1.0
+
+
+@dataclass
+class Gibbs:
+    chains: int = 1
+    steps: int = 1000
+    burn: int = 500
+    penalty: float = 0.001
+    p0: float = 0.1
+    most: int = 50
+
+
+@dataclass
+class Folds:
+    outer: int = 5
+    alpha: float = 0.05
+    method: str = "wilson"
+
+
+@dataclass
+class Vote:
+    alpha: float = 0.05
+    min_perf: float = 0.5
+    max_experts: int = 0
+    diversity_pct: float = 0.0
+    method: str = "majority"
+    threshold: float = 0.5
+    window: float = 0.0
+    specialized: bool = False
+    sensitivity: float = 0.7
+    specificity: float = 0.7
+
+
+@dataclass
+class Importance:
+    permutations: int = 100
 
 
 @dataclass
@@ -50,7 +135,16 @@ class Params:
 
     general: General = field(default_factory=General)
     data: Data = field(default_factory=Data)
-    search: Search = field(default_factory=Search)
+    beam: Beam = field(default_factory=Beam)
+    ga: Genetic = field(default_factory=Genetic)
+    aco: Ants = field(default_factory=Ants)
+    sa: Annealing = field(default_factory=Annealing)
+    ils: LocalSearch = field(default_factory=LocalSearch)
+    lasso: Lasso = field(default_factory=Lasso)
+    mcmc: Gibbs = field(default_factory=Gibbs)
+    folds: Folds = field(default_factory=Folds)
+    vote: Vote = field(default_factory=Vote)
+    importance: Importance = field(default_factory=Importance)
 
     @classmethod
     def of(cls, values: dict) -> Params:
@@ -65,7 +159,7 @@ class Params:
         return cls(**parts).checked()
 
     def checked(self) -> Params:
-        g, d, s = self.general, self.data, self.search
+        g, d, v = self.general, self.data, self.vote
         for ok, what in (
             (g.algo in ("ga", "beam", "aco", "sa", "ils", "lasso", "mcmc"), "algo"),
             (0 < g.ci_alpha < 1, "ci_alpha"),
@@ -73,12 +167,44 @@ class Params:
             (0 <= d.holdout < 1, "holdout"),
             (d.test in ("wilcoxon", "studentt", "bayesian_fisher"), "test"),
             (0 <= d.min_prevalence <= 1, "min_prevalence"),
-            (s.k_max == 0 or s.k_min <= s.k_max, "k_min, k_max"),
+            (g.algo == "beam" or g.data_type == "raw", "data_type: only beam reads other values than raw ones"),
+            (g.algo in ("beam", "ga", "aco") or g.language == "ternary", "language: chains and paths are ternary"),
+            (1 <= self.beam.k_start <= self.beam.k_stop, "beam: k_start, k_stop"),
+            (all(s.k_min <= s.k_max for s in (self.ga, self.aco)), "k_min, k_max"),
+            (self.mcmc.burn < self.mcmc.steps, "mcmc: burn, steps"),
+            (self.lasso.low <= self.lasso.high, "lasso: low, high"),
+            (self.folds.outer >= 2, "folds: outer"),
+            (v.method in ("majority", "consensus"), "vote: method"),
+            (0 <= v.threshold <= 1 and 0 <= v.min_perf <= 1, "vote: threshold, min_perf"),
+            (self.importance.permutations >= 1, "importance: permutations"),
         ):
             if not ok:
                 raise ValueError(f"out of range: {what}")
         return self
 
+    @classmethod
+    def of_text(cls, text: str) -> Params:
+        """From two levels of ``section:`` and indented ``key: value`` lines; ``#`` starts a comment."""
+        values, own = {}, None
+        for line in text.splitlines():
+            line = line.split("#", 1)[0].rstrip()
+            if not line:
+                continue
+            name, _, value = line.strip().partition(":")
+            if line[0] != " ":
+                own = values.setdefault(name, {})
+            elif own is None:
+                raise ValueError(f"{name} is in no section")
+            else:
+                try:
+                    own[name] = json.loads(value)
+                except ValueError:
+                    own[name] = value.strip().strip("'")
+        return cls.of(values)
+
+    def to_text(self) -> str:
+        return "".join(f"{s}:\n" + "".join(f"  {k}: {json.dumps(v)}\n" for k, v in part.items()) for s, part in asdict(self).items())
+
     def to_json(self) -> str:
         return json.dumps(asdict(self), indent=1)
 

@@ -206,7 +206,8 @@ def test_text_sources(spark, tmp_path):
 
 
 def test_store(spark, tmp_path):
-    p = store.Params.of({"general": {"algo": "beam"}, "search": {"k_max": 5}})
+    p = store.Params.of({"general": {"algo": "beam"}, "beam": {"k_stop": 5}})
+    assert store.Params.of_text(p.to_text()) == p and store.Params.of_text("# none\n") == store.Params()
     store.save(str(tmp_path / "e"), {"models": spark.range(3)}, p)
     tables, q = store.load(spark, str(tmp_path / "e"))
     assert q == p and tables["models"].count() == 3
