@@ -7,7 +7,7 @@ import pytest
 from scantling.plans import catalogue
 
 SF = "/root/testdata/sf0.001"
-SAMPLE = ("wide_to_long", "zscore_stats", "score_ratio_log", "auc_ties", "roc_best_mcc", "confusion", "population_sort", "wilcoxon", "fisher_bf", "beam_k2_exhaustive", "kfold_stratified", "vote_majority", "ga_crossover", "aco_construct", "report_best_model", "run_beam", "run_jury", "run_cv_families")
+SAMPLE = ("wide_to_long", "zscore_stats", "score_ratio_log", "auc_ties", "roc_best_mcc", "confusion", "population_sort", "wilcoxon", "fisher_bf", "beam_k2_exhaustive", "kfold_stratified", "vote_majority", "ga_crossover", "aco_construct", "report_best_model", "run_beam", "run_jury")
 
 needs_data = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 
