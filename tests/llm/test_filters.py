@@ -333,6 +333,44 @@ def test_decontamination_equals_brute_force_on_plain_passages(spark):
     assert got == want and len(want) >= 20
 
 
+def test_decontamination_of_other_case_and_of_placeholders_only(spark):
+    """Copies in other case by their literal windows; one row per item; no share of 0.8, nothing found."""
+    slots = (7, "Anna Berg 12 Rome 15 Paris 3 km")
+    rows = [
+        (1, "WELL, " + ITEMS[0][1].upper() + " SO IT IS"),
+        (2, "well, " + ITEMS[0][1].lower() + " so it is"),
+        (3, "THEY SAY " + ITEMS[1][1].upper() + " OFTEN"),
+        (4, "say " + slots[1].lower() + " end"),
+        (5, "say Anna Berg 12 Rome 15 Paris 4 km end"),
+        (6, "say Carl Holm 9 Oslo 8 Bonn 3 km end"),
+        (7, "well, " + ITEMS[0][1]),
+        (8, "JOHN SMITH HAS 12 APPLES AND MARY HAS 15 PEARS AND NOTHING ELSE AT ALL TO SELL"),
+    ]
+    got = [(r.doc_id, r.item_id, r.changed_slots) for r in decontaminate.leaks(documents(spark, rows), bench(spark, [*ITEMS[:2], slots])).collect()]
+    assert sorted(got) == [(1, 1, 0), (2, 1, 0), (3, 2, 0), (4, 7, 0), (7, 1, 0)]
+
+
+def test_decontamination_equals_brute_force_in_any_case(spark):
+    rng = random.Random(16)
+    items = [(i, " ".join(prose(rng, rng.randint(8, 40)))) for i in range(30)]
+    items = [(i, " ".join(w.title() if i % 2 and rng.random() < 0.3 else w for w in t.split())) for i, t in items]
+    rows = []
+    for i in range(90):
+        w = prose(rng, 60)
+        own = items[i % 30][1].split()
+        if i % 5:
+            w[20:20] = own if i % 5 > 1 else own[len(own) // 2 :]
+        rows.append((i, (str.upper, str.lower, str)[i // 30](" ".join(w))))
+
+    def grams(t):
+        w = t.lower().split()
+        return {tuple(w[k : k + 5]) for k in range(len(w) - 4)}
+
+    want = {(d, i) for d, t in rows for i, q in items if len(grams(t) & grams(q)) >= 0.8 * len(grams(q))}
+    got = {(r.doc_id, r.item_id) for r in decontaminate.leaks(documents(spark, rows), bench(spark, items)).collect()}
+    assert got == want and len(want) >= 50
+
+
 def test_decontamination_empty(spark):
     assert decontaminate.leaks(documents(spark, []), bench(spark)).count() == 0
     assert decontaminate.leaks(documents(spark, [(1, "a b")]), bench(spark, [])).count() == 0
