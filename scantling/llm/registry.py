@@ -19,8 +19,11 @@ QUERIES = {
     "op8_warc": ("warc", "query"),
     "op9_token_counts": ("tokens", "length_query"),
     "op10_benchmark_decontamination": ("decontaminate", "query"),
+    "op11_toxicity": ("toxicity", "query"),
+    "op12_fill_in_middle": ("fill_in_middle", "query"),
+    "op13_conversation_trie": ("conversation_trie", "query"),
 }
-SQL = {"op2_minhash_near_dedup": "near_dedup", "op5_url_filter": "url_filter", "op8_warc": "warc"}
+SQL = {"op2_minhash_near_dedup": "near_dedup", "op5_url_filter": "url_filter", "op8_warc": "warc", "op12_fill_in_middle": "fill_in_middle", "op13_conversation_trie": "conversation_trie"}
 
 
 def queries():
