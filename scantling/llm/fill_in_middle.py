@@ -64,8 +64,9 @@ def offsets(texts: DataFrame, unit: str = UNIT) -> DataFrame:
     asked = matched.select(*ROW, F.posexplode(F.arrays_zip("ordinals", "parts")).alias("cut", "r")).select(*ROW, "cut", of_block(F.col("r.ordinals")).alias("block"), (F.col("r.ordinals") % BLOCK).cast("int").alias("k"), "r.parts")
     held = asked.filter("parts is not null").join(starts, [*ROW, "block"])
     units = F.regexp_extract_all("parts", F.lit(one), F.lit(0))
-    units = held.select(*ROW, "cut", "start", "k", F.posexplode(F.slice(units, 1, F.col("k") + 1)).alias("at", "unit"))
-    u = Window.partitionBy(*ROW, "cut").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    units = held.select(*ROW, "block", "cut", "start", "k", F.posexplode(F.slice(units, 1, F.col("k") + 1)).alias("at", "unit"))
+    u = Window.partitionBy(*ROW, "block", "cut").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    # the join's partitioning serves the window: units aren't moved
     before = units.withColumn("offset", F.col("start") + F.coalesce(F.sum(F.char_length("unit")).over(u), F.lit(0)))
     return before.filter("at = k").select(*ROW, "cut", "offset")
 
