@@ -79,7 +79,8 @@ def forked(own: DataFrame) -> tuple[DataFrame, DataFrame]:
 class Trie:
     """``nodes``: conv_id, depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens.
 
-    ``ends``: conv_id and depth of a node, and ``member``, a conversation that ends there.
+    ``ends``: conv_id and depth of a node, ``member``, a conversation that ends there, and whether it
+    is ``alone`` in the node.
     """
 
     nodes: DataFrame
@@ -110,7 +111,7 @@ def build(members: DataFrame, rows: DataFrame) -> Trie:
     members = kept(members.select("conv_id", F.col("length").cast("long").alias("length")), "members")
     first = members.agg(F.min("conv_id").alias("conv_id"), F.count("*").alias("n")).first()
     if not first["n"]:
-        return Trie(spark.createDataFrame([], ROLLED), spark.createDataFrame([], "conv_id long, depth long, member long"))
+        return Trie(spark.createDataFrame([], ROLLED), spark.createDataFrame([], "conv_id long, depth long, member long, alone boolean"))
     root = spark.createDataFrame([(first["conv_id"], 0, None, first["n"], 0)], NODE)
     levels, lengths = [kept(root, "level", 0)], members
     alone = [members.filter(F.lit(first["n"] == 1)).select("conv_id", F.lit(0).cast("long").alias("depth"))]
@@ -118,7 +119,7 @@ def build(members: DataFrame, rows: DataFrame) -> Trie:
     ends = []
     depth = 0
     while not live.isEmpty():
-        ends.append(live.filter(F.col("length") == depth).select(F.col("node").alias("conv_id"), F.lit(depth).cast("long").alias("depth"), F.col("conv_id").alias("member")))
+        ends.append(live.filter(F.col("length") == depth).select(F.col("node").alias("conv_id"), F.lit(depth).cast("long").alias("depth"), F.col("conv_id").alias("member"), F.lit(False).alias("alone")))
         depth += 1
         said = rows.filter(F.col("depth") == depth).select("conv_id", "key", "bytes")
         following = kept(live.join(said, "conv_id"), "next", depth)
@@ -149,7 +150,7 @@ def build(members: DataFrame, rows: DataFrame) -> Trie:
     chains = rows.select("conv_id", "depth").join(single, "conv_id").filter("depth > from_depth")
     chains = chains.select("conv_id", "depth", F.col("conv_id").alias("parent_conv_id"), one.alias("n_convs"), (F.col("length") > F.col("depth")).cast("long").alias("n_children"), one.alias("n_leaves"), none.alias("saved_tokens"))
     nodes = spark.read.schema(ROLLED).parquet(*[os.path.join(folder, "rolled", str(k)) for k in range(len(levels))]).unionByName(chains)
-    ended = single.select("conv_id", F.col("length").alias("depth"), F.col("conv_id").alias("member"))
+    ended = single.select("conv_id", F.col("length").alias("depth"), F.col("conv_id").alias("member"), F.lit(True).alias("alone"))
     for x in ends:
         ended = ended.unionByName(x)
     return Trie(nodes, kept(ended, "ends"))
@@ -207,11 +208,8 @@ def conversation_trie(conversations: DataFrame) -> Trie:
 def query(spark, sf_dir: str) -> DataFrame:
     trie = build(*forked(turns(spark.read.parquet(f"{sf_dir}/conversations.parquet"))))
     # the one member of a node of its own needs no sorting
-    ends = trie.ends.withColumnRenamed("member", "_member")
-    nodes = trie.nodes.alias("t")
-    shared = digests(trie.ends.join(trie.nodes.filter("n_convs > 1").select("conv_id", "depth"), ["conv_id", "depth"], "left_semi"))
-    alone = ends.join(trie.nodes.filter("n_convs = 1").select("conv_id", "depth"), ["conv_id", "depth"], "left_semi").select("conv_id", "depth", F.sha2(F.col("_member").cast("string"), 256).alias("ends_sha256"))
-    out = nodes.join(shared.unionByName(alone), ["conv_id", "depth"], "left")
+    alone = trie.ends.filter("alone").select("conv_id", "depth", F.sha2(F.col("member").cast("string"), 256).alias("ends_sha256"))
+    out = trie.nodes.join(digests(trie.ends.filter("not alone")).unionByName(alone), ["conv_id", "depth"], "left")
     return out.withColumn("ends_sha256", F.coalesce("ends_sha256", F.sha2(F.lit(""), 256))).select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
 
 
