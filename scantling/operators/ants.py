@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import draw
-from . import dense, population
+from . import dense, goals, population
 
 TAU = (0.01, 1.0)
 
@@ -63,7 +63,7 @@ def top(pheromone: DataFrame, n: int) -> DataFrame:
     return pheromone.withColumn("tau", F.col("tau_pos") + F.col("tau_neg")).orderBy(F.round("tau", 12).desc(), "feature_id").limit(n)
 
 
-def search(selection: DataFrame, matrix: dense.Matrix, ants: int = 50, iterations: int = 8, k_min: int = 2, k_max: int = 8, rho: float = 0.1, elite_weight: float = 2.0, k_penalty: float = 0.0, language: str = "ternary", seed: int = 4815162342) -> DataFrame:
+def search(selection: DataFrame, matrix: dense.Matrix, ants: int = 50, iterations: int = 8, k_min: int = 2, k_max: int = 8, rho: float = 0.1, elite_weight: float = 2.0, k_penalty: float = 0.0, language: str = "ternary", seed: int = 4815162342, goal: goals.Goal | None = None) -> DataFrame:
     """All distinct models of the last iteration and the best ever, ranked."""
     spark = selection.sparkSession
     eta = heuristic(selection)
@@ -72,7 +72,7 @@ def search(selection: DataFrame, matrix: dense.Matrix, ants: int = 50, iteration
         models = construct(probabilities(tau, eta), ants, k_min, k_max, seed + i)
         models = models.withColumn("model_id", F.col("model_id") + i * (1 << 32)).withColumn("term_key", population.term_key()).withColumn("k", F.size("terms").cast("long"))
         models = population.remove_clones(population.remove_stillborn(models, language))
-        out = population.ranked(models.join(dense.fit(models, matrix, language), "model_id").withColumn("fit", F.col("auc") - F.col("k") * k_penalty))
+        out = population.ranked(goals.fitted(models, matrix, goal or goals.Goal(k_penalty=k_penalty), language))
         rows = out.collect()  # at most one per ant
         if not rows:
             continue

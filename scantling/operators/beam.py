@@ -12,7 +12,7 @@ from math import comb
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import dense, population
+from . import dense, goals, population
 
 
 def largest_pool(k: int, most: int, available: int) -> int:
@@ -68,31 +68,29 @@ def extended(best: DataFrame, selection: DataFrame) -> DataFrame:
     return more.select(F.array_sort(F.concat("terms", F.array(F.struct("f", "c")))).alias("terms")).distinct()
 
 
-def fitted_level(models: DataFrame, matrix: dense.Matrix, data_type: str = "raw", k_penalty: float = 0.0) -> DataFrame:
+def fitted_level(models: DataFrame, matrix: dense.Matrix, data_type: str = "raw", k_penalty: float = 0.0, goal: goals.Goal | None = None) -> DataFrame:
     """Models of a level with AUC and fit; ratio and linear models are scored apart."""
-    models = models.persist()
-    parts = [dense.fit(models.filter(cond), matrix, kind, data_type) for kind, cond in (("ternary", "language <> 'ratio'"), ("ratio", "language = 'ratio'"))]
-    out = models.join(parts[0].unionByName(parts[1]), "model_id").withColumn("fit", F.col("auc") - F.col("k") * k_penalty)
-    return out
+    models, c = models.persist(), goal or goals.Goal(k_penalty=k_penalty)
+    parts = [goals.fitted(models.filter(cond), matrix, c, kind, data_type) for kind, cond in (("ternary", "language <> 'ratio'"), ("ratio", "language = 'ratio'"))]
+    return parts[0].unionByName(parts[1])
 
 
-def search(matrix: dense.Matrix, selection: DataFrame, k_start: int = 1, k_stop: int = 4, method: str = "exhaustive", criterion: float = 10.0, most: int = 10_000, language: str = "ternary", data_type: str = "raw", k_penalty: float = 0.0):
-    """Levels from ``k_start`` + 1 to ``k_stop``, each fitted and ranked; the first level is not returned.
+def search(matrix: dense.Matrix, selection: DataFrame, k_start: int = 1, k_stop: int = 4, method: str = "exhaustive", criterion: float = 10.0, most: int = 10_000, language: str = "ternary", data_type: str = "raw", k_penalty: float = 0.0, goal: goals.Goal | None = None):
+    """Levels from ``k_start`` + 1 to ``k_stop``, each fitted and ranked, a list of ``most`` models or a few more; the first isn't returned.
 
     ``criterion`` up to 1 is the level of the family of best models, above 1 a percentage.
     """
-    spark = selection.sparkSession
     start = rewritten(combinations(limited(selection, k_start, most), k_start), k_start, language)
-    level = population.ranked(fitted_level(named(start, k_start), matrix, data_type, k_penalty)).persist()
+    level = population.listed(population.ranked(fitted_level(named(start, k_start), matrix, data_type, k_penalty, goal)))
     for k in range(k_start + 1, k_stop + 1):
         best = population.first_pct(level, criterion) if criterion > 1 else population.family(level, criterion)
-        best = spark.createDataFrame(best.collect(), best.schema)  # a level's best models, a bounded list
+        best = population.listed(best)
         kept = population.features_by_frequency(best)
         pool = selection.join(kept, "feature_id", "left_semi")
         if pool.count() < k or best.isEmpty():
             return
         models = combinations(limited(pool, k, most), k) if method == "exhaustive" else extended(best, pool)
-        level = population.ranked(fitted_level(named(rewritten(models, k, language), k), matrix, data_type, k_penalty)).persist()
+        level = population.listed(population.ranked(fitted_level(named(rewritten(models, k, language), k), matrix, data_type, k_penalty, goal)))
         if level.isEmpty():
             return
         yield level

@@ -1,7 +1,7 @@
 """Scoring in blocks: a sample-by-feature matrix in the tasks, models as batches of columns.
 
-The matrix is broadcast while it has at most ``MOST_CELLS`` cells (counted before); beyond that
-the relational path (``operators.scores``) does the same. Both give equal results.
+The matrix is broadcast if it has at most ``MOST_CELLS`` cells (counted before); a larger one is an
+error, and the relational path (``operators.scores``), which gives equal results, is the caller's to take.
 """
 
 from __future__ import annotations
@@ -53,6 +53,17 @@ class Matrix:
                 return np.where(self.stored, np.log(self.values / epsilon), 0.0)
         return (self.values - self.mean) / self.std
 
+    def as_read(self, values: np.ndarray, column: int, data_type: str, epsilon: float = EPSILON) -> np.ndarray:
+        """Other values of a column as a data type reads them; zeros are absent."""
+        if data_type == "raw":
+            return values
+        if data_type == "prevalence":
+            return (values > epsilon).astype(float)
+        if data_type == "log":
+            with np.errstate(all="ignore"):
+                return np.where(values != 0, np.log(values / epsilon), 0.0)
+        return (values - self.mean[column]) / self.std[column]
+
     def scores(self, columns: np.ndarray, coefs: np.ndarray, language: str, g: np.ndarray, data_type: str = "raw", epsilon: float = EPSILON) -> np.ndarray:
         part = g[:, columns]
         if language != "ratio":

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import draw, uniform
-from . import dense, population
+from . import dense, goals, population
 
 POW2 = (1, 2, 4, 8, 16, 32, 64)
 
@@ -85,14 +85,14 @@ def generate(features: DataFrame, n: int, k_min: int, k_max: int, seed: int, sig
     return rows.groupBy("model_id").agg(F.array_sort(F.collect_list(F.struct(F.col("feature_id").alias("f"), c.cast("int").alias("c")))).alias("terms"))
 
 
-def search(features: DataFrame, matrix: dense.Matrix, language: str = "ternary", size: int = 100, epochs: int = 10, k_min: int = 1, k_max: int = 10, elite_pct: float = 5, random_pct: float = 5, k_penalty: float = 0.0, max_age: int = 5, diversity_pct: float = 0.0, seed: int = 4815162342) -> DataFrame:
+def search(features: DataFrame, matrix: dense.Matrix, language: str = "ternary", size: int = 100, epochs: int = 10, k_min: int = 1, k_max: int = 10, elite_pct: float = 5, random_pct: float = 5, k_penalty: float = 0.0, max_age: int = 5, diversity_pct: float = 0.0, seed: int = 4815162342, goal: goals.Goal | None = None) -> DataFrame:
     """The last population, ranked. Stops after ``epochs``, or when the best model is ``max_age`` epochs old."""
     spark = features.sparkSession
 
     def evaluated(models: DataFrame) -> DataFrame:
         models = models.withColumn("term_key", population.term_key()).withColumn("k", F.size("terms").cast("long"))
         models = population.remove_clones(population.remove_out_of_bounds(population.remove_stillborn(models, language), 0, k_max))
-        out = models.join(dense.fit(models, matrix, language), "model_id").withColumn("fit", F.col("auc") - F.col("k") * k_penalty)
+        out = goals.fitted(models, matrix, goal or goals.Goal(k_penalty=k_penalty), language)
         out = population.ranked(out).filter(F.col("rank") < size).drop("rank")
         return population.ranked(spark.createDataFrame(out.collect(), out.schema))  # bounded by the population's size
 

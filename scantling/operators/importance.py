@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from math import ceil
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import resampling, roc
+from . import dense, resampling, roc
 
 
 def mda(models: DataFrame, scores: DataFrame, x: DataFrame, samples: DataFrame, permutations: int, seed: int) -> DataFrame:
@@ -26,8 +28,11 @@ def mda(models: DataFrame, scores: DataFrame, x: DataFrame, samples: DataFrame,
     return permuted.join(roc.auc(scores), "model_id").select("model_id", "feature_id", (F.col("auc") - F.col("permuted")).alias("importance"))
 
 
-def over_models(importance: DataFrame, n_models: int) -> DataFrame:
-    """Mean and deviation over all models; a model without the feature counts as 0."""
+def over_models(importance: DataFrame, n_models: int, by_prevalence: bool = False) -> DataFrame:
+    """Mean and deviation over all models; a model without the feature counts as 0. ``by_prevalence``: as ``over_models_median``."""
+    if by_prevalence:
+        share = F.col("scope_pct")
+        return over_models(importance, n_models).select("feature_id", (F.col("importance") * share).alias("importance"), (F.col("dispersion") * share).alias("dispersion"), "scope_pct")
     s, q = F.sum("importance"), F.sum(F.col("importance") * F.col("importance"))
     mean = s / n_models
     return importance.groupBy("feature_id").agg(mean.alias("importance"), F.sqrt(F.greatest(q / n_models - mean * mean, F.lit(0.0))).alias("dispersion"), (F.count("*") / n_models).alias("scope_pct"))
@@ -38,6 +43,21 @@ def over_folds(importance: DataFrame, n_folds: int) -> DataFrame:
     return importance.groupBy("feature_id").agg(F.avg("importance").alias("importance"), F.stddev_pop("importance").alias("dispersion"), (F.count_if(F.col("importance") > 0) / n_folds).alias("scope_pct"))
 
 
+def of_collection(importance: DataFrame, significant: DataFrame, n_folds: int, aggregation: str = "mean") -> DataFrame:
+    """``feature_id, importance, dispersion, scope_pct`` over folds (``fold, feature_id, importance``).
+
+    ``significant``: fold, feature_id of the features that a fold's screening kept; their share is ``scope_pct``.
+    """
+    share = significant.groupBy("feature_id").agg((F.count("*") / n_folds).alias("scope_pct"))
+    v = F.col("importance")
+    if aggregation == "median":
+        middle = importance.groupBy("feature_id").agg(F.median(v).alias("m"))
+        out = importance.join(middle, "feature_id").groupBy("feature_id").agg(F.first("m").alias("importance"), (F.median(F.abs(v - F.col("m"))) * 1.4826).alias("dispersion"))
+    else:
+        out = importance.groupBy("feature_id").agg(F.avg(v).alias("importance"), F.stddev_pop(v).alias("dispersion"))
+    return out.join(share, "feature_id", "left").select("feature_id", "importance", "dispersion", F.coalesce("scope_pct", F.lit(0.0)).alias("scope_pct"))
+
+
 def pruned(models: DataFrame, importance: DataFrame, threshold: float, min_k: int = 1) -> DataFrame:
     """Models without the terms whose importance is under the threshold; the best ``min_k`` stay always."""
     w = Window.partitionBy("model_id").orderBy(F.col("importance").desc(), "feature_id")
@@ -56,3 +76,80 @@ def of(importances: DataFrame, feature_id: int | None = None, least: float | Non
     if feature_id is not None:
         importances = importances.filter(F.col("feature_id") == feature_id)
     return importances if least is None else importances.filter(F.col("importance") >= least)
+
+
+#: Permuted values that are broadcast, at most.
+MOST_PERMUTED = 50_000_000
+
+
+def permuted_columns(x: DataFrame, matrix: dense.Matrix, features: DataFrame, permutations: int, seed: int) -> dict[int, np.ndarray]:
+    """Feature to its values (permutations x known samples of the matrix), dealt as ``resampling.shuffled_feature`` does."""
+    known = matrix.samples[matrix.y < 2]
+    n = features.select("feature_id").distinct().count()
+    if n * permutations * len(known) > MOST_PERMUTED:
+        raise ValueError(f"{n} x {permutations} x {len(known)} permuted values; use importance.mda")
+    samples = features.sparkSession.createDataFrame(pd.DataFrame({"sample_id": known}))
+    rows = resampling.shuffled_feature(x, samples, features, permutations, seed).toPandas()
+    out = {}
+    for f, own in rows.groupby("feature_id"):
+        v = np.zeros((permutations, len(known)))
+        v[own["permutation"], np.searchsorted(known, own["sample_id"])] = own["value"]
+        out[int(f)] = v
+    return out
+
+
+def of_models(models: DataFrame, matrix: dense.Matrix, x: DataFrame, permutations: int, seed: int, language: str = "ternary", data_type: str = "raw", epsilon: float = dense.EPSILON) -> DataFrame:
+    """``model_id, feature_id, importance`` of models of any language and data type.
+
+    A permuted column takes the place of the feature's own in the block; the rest of the model is as it was.
+    """
+    features = models.select(F.explode("terms.f").alias("feature_id"))
+    shared = models.sparkSession.sparkContext.broadcast((matrix, permuted_columns(x, matrix, features, permutations, seed)))
+
+    def run(batches):
+        m, columns = shared.value
+        m = m.rows(m.y < 2)
+        g = m.read(data_type, epsilon)
+        for pdf in batches:
+            out = []
+            for model_id, f, c in zip(pdf["model_id"], pdf["f"], pdf["c"]):
+                at, c = np.searchsorted(m.features, f), np.asarray(c, float)
+                part, own = g[:, at].copy(), np.arange(len(at))
+                base = dense.auc(m.scores(own, c, language, part, data_type, epsilon), m.y)
+                for k, feature in enumerate(f):
+                    kept, falls = part[:, k].copy(), []
+                    for values in m.as_read(columns.get(int(feature), np.zeros((permutations, len(m.y)))), at[k], data_type, epsilon):
+                        part[:, k] = values
+                        falls.append(base - dense.auc(m.scores(own, c, language, part, data_type, epsilon), m.y))
+                    part[:, k] = kept
+                    out.append((model_id, int(feature), float(np.mean(falls))))
+            yield pd.DataFrame(out, columns=["model_id", "feature_id", "importance"])
+
+    return models.select("model_id", F.col("terms.f").alias("f"), F.col("terms.c").alias("c")).mapInPandas(run, "model_id long, feature_id int, importance double")
+
+
+def quantile_threshold(importance: DataFrame, quantile: float, margin: float = 0.0) -> DataFrame:
+    """``model_id, threshold``: each model's own quantile of importance (linear between neighbours), less the margin."""
+    return importance.groupBy("model_id").agg((F.percentile("importance", F.lit(quantile)) - margin).alias("threshold"))
+
+
+def pruned_by_quantile(models: DataFrame, importance: DataFrame, quantile: float, margin: float = 0.0, min_k: int = 1) -> DataFrame:
+    """As ``pruned``, with a threshold of each model's own."""
+    own = importance.join(quantile_threshold(importance, quantile, margin), "model_id")
+    return pruned(models, own.withColumn("importance", F.col("importance") - F.col("threshold")).drop("threshold"), 0.0, min_k)
+
+
+def over_models_median(importance: DataFrame, n_models: int, by_prevalence: bool = False) -> DataFrame:
+    """``feature_id, importance, dispersion, scope_pct``: median and scaled median deviation over all models.
+
+    A model without the feature counts as 0: as one value with the number of such models as its
+    frequency. ``by_prevalence`` multiplies both by the share of models with the feature.
+    """
+    own = importance.select("feature_id", F.col("importance").alias("v"), F.lit(1).cast("long").alias("n"))
+    rest = importance.groupBy("feature_id").agg(F.lit(0.0).alias("v"), (F.lit(n_models) - F.count("*")).alias("n"))
+    every = own.unionByName(rest.filter("n > 0"))
+    middle = every.groupBy("feature_id").agg(F.percentile("v", F.lit(0.5), F.col("n")).alias("m"))
+    share = importance.groupBy("feature_id").agg((F.count("*") / n_models).alias("scope_pct"))
+    spread = every.join(middle, "feature_id").groupBy("feature_id").agg((F.percentile(F.abs(F.col("v") - F.col("m")), F.lit(0.5), F.col("n")) * 1.4826).alias("dispersion"))
+    scale = F.col("scope_pct") if by_prevalence else F.lit(1.0)
+    return middle.join(spread, "feature_id").join(share, "feature_id").select("feature_id", (F.col("m") * scale).alias("importance"), (F.col("dispersion") * scale).alias("dispersion"), "scope_pct")

@@ -26,6 +26,11 @@ def order(fit: str = "fit", key: str = "term_key") -> list[Column]:
     return [category, F.when(category == 1, F.round(f / TIE)).otherwise(0.0).desc(), F.col(key).desc(), F.col("model_id")]
 
 
+def listed(df: DataFrame) -> DataFrame:
+    """A bounded list (selected features, a search's models) as rows of its own: what is built on it has a short plan."""
+    return df.sparkSession.createDataFrame(df.collect(), df.schema)
+
+
 def ranked(models: DataFrame) -> DataFrame:
     return models.withColumn("rank", F.row_number().over(Window.orderBy(*order())) - 1)
 

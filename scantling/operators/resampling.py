@@ -39,6 +39,11 @@ def holdout(samples: DataFrame, ratio: float, seed: int, by: list[str] | None =
     return rows.select("sample_id", (F.col("place") < F.round(F.col("n") * ratio)).alias("test"))
 
 
+def holdout_unstratified(samples: DataFrame, ratio: float, seed: int) -> DataFrame:
+    """``sample_id, test`` whatever the target: those whose draw is below the share, each by itself."""
+    return samples.select("sample_id", (draw(seed, "holdout", "sample_id") < F.lit(int(ratio * (1 << 32)))).alias("test"))
+
+
 def random_subset(samples: DataFrame, size: int, seed: int) -> DataFrame:
     """``sample_id`` of about ``size`` samples with the classes' shares kept; positives are rounded, negatives fill up."""
     rows = shuffled(samples.filter("y < 2"), seed, "subset", ["y"])

@@ -6,17 +6,26 @@ dense matrix (``dense.MOST_CELLS``) and return bounded lists of models.
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import asdict, dataclass, replace
 from functools import reduce
 
+import numpy as np
+import pandas as pd
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scoring as fs
 from ..sources import store
-from . import ants, beam, chains, dataset, dense, genetic, importance, linear, population, resampling, roc, scores, screening, voting
+from . import ants, beam, chains, dataset, dense, fitness, genetic, goals, importance, linear, population, resampling, roc, scores, screening, voting
 
-COLUMNS = ("model_id", "term_key", "terms", "k", "auc", "fit", "threshold", "accuracy", "sensitivity", "specificity")
+#: Columns of a run's models, and their types.
+TYPES = {
+    "model_id": "long", "term_key": "string", "terms": "array<struct<f:int,c:int>>", "k": "long", "auc": "double", "fit": "double", "threshold": "double", "accuracy": "double", "sensitivity": "double",
+    "specificity": "double", "lower": "double", "upper": "double", "rejection_rate": "double",
+}
+COLUMNS = tuple(TYPES)
 
 
 @dataclass
@@ -28,11 +37,12 @@ class Outcome:
     models: DataFrame
     family: DataFrame
     tested: DataFrame
+    experts: DataFrame
     jury: DataFrame
     stats: DataFrame | None
 
     def save(self, folder: str, more: dict[str, DataFrame] | None = None) -> None:
-        tables = {"selection": self.selection, "models": self.models, "family": self.family, "tested": self.tested, "jury": self.jury}
+        tables = {"selection": self.selection, "models": self.models, "family": self.family, "tested": self.tested, "experts": self.experts, "jury": self.jury}
         store.save(folder, tables | ({"stats": self.stats} if self.stats is not None else {}) | (more or {}), self.params)
 
 
@@ -43,6 +53,8 @@ def part(samples: DataFrame, chosen: DataFrame) -> DataFrame:
 def selection(x: DataFrame, samples: DataFrame, p: store.Params) -> DataFrame:
     """Features that the configured test keeps, with class and rank."""
     d = p.data
+    if p.general.fit in store.REGRESSIONS:
+        return screening.select_for_regression(x, samples, d.min_prevalence)
     limits = {"min_prevalence": d.min_prevalence, "min_mean": d.min_mean}
     if d.test == "bayesian_fisher":
         tests = screening.fisher_bayes(x, samples, **limits)
@@ -52,53 +64,69 @@ def selection(x: DataFrame, samples: DataFrame, p: store.Params) -> DataFrame:
     return screening.select_features(test(x, samples, d.max_p, **limits), d.max_p, d.per_class)
 
 
+def goal(matrix: dense.Matrix, samples: DataFrame, p: store.Params) -> goals.Goal:
+    """What the run's search maximizes: the fit with its penalties, bands and inner folds."""
+    g, f = p.general, p.folds
+    bands = goals.bands(matrix, samples, g.bootstrap, g.ci_alpha, g.seed, g.bootstrap_fraction) if g.bootstrap and g.fit in store.CLASSES else None
+    fold = None
+    if f.inner:
+        inner = resampling.folds(samples, f.inner, g.seed, [] if g.fit in store.REGRESSIONS else None).toPandas()  # a row for each row of the matrix
+        fold = pd.Series(inner["fold"].to_numpy(), inner["sample_id"]).reindex(matrix.samples).fillna(-1).to_numpy(np.int64)
+    return goals.Goal(g.fit, g.k_penalty, g.bias_penalty, g.ci_penalty, g.other_side_penalty, bands, fold, f.overfit_penalty)
+
+
 def found(x: DataFrame, samples: DataFrame, chosen: DataFrame, p: store.Params) -> DataFrame:
-    """The algorithm's models, ranked, with thresholds and metrics on ``samples``; none without features."""
+    """The algorithm's models, ranked by the run's goal, with thresholds and metrics on ``samples``; none without features."""
     spark, g = x.sparkSession, p.general
     own = getattr(p, g.algo)
     if chosen.isEmpty():
-        return spark.createDataFrame([], "model_id long, term_key string, terms array<struct<f:int,c:int>>, k long, auc double, fit double, threshold double, accuracy double, sensitivity double, specificity double, rank int")
+        return spark.createDataFrame([], ", ".join(f"{k} {t}" for k, t in TYPES.items()) + ", rank int")
     x = dataset.selected(x, chosen)
-    matrix = dense.Matrix(x, samples)
-    options = asdict(own) | {"k_penalty": g.k_penalty}
+    matrix = dense.Matrix(x, samples, known=g.fit in store.CLASSES and not g.bootstrap)
+    aim = goal(matrix, samples, p)
+    options = asdict(own)
     if g.algo == "beam":
-        levels = list(beam.search(matrix, chosen, **options, language=g.language, data_type=g.data_type))
+        levels = list(beam.search(matrix, chosen, **options, language=g.language, data_type=g.data_type, goal=aim))
         if not levels:
             return found(x, samples, chosen.limit(0), p)
         models = reduce(DataFrame.unionByName, levels)
     elif g.algo == "ga":
-        models = genetic.search(chosen, matrix, g.language, **options, seed=g.seed)
+        models = genetic.search(chosen, matrix, g.language, **options, seed=g.seed, goal=aim)
     elif g.algo == "aco":
-        models = ants.search(chosen, matrix, **options, language=g.language, seed=g.seed)
+        models = ants.search(chosen, matrix, **options, language=g.language, seed=g.seed, goal=aim)
     elif g.algo in ("sa", "ils"):
-        models = chains.search(spark, matrix, g.algo, **options, seed=g.seed).withColumnRenamed("chain_id", "model_id")
+        known = matrix.rows(matrix.y < 2)
+        models = chains.search(spark, known, g.algo, **options, k_penalty=g.k_penalty, seed=g.seed).withColumnRenamed("chain_id", "model_id")
     elif g.algo == "lasso":
-        models = linear.search(x, samples.filter("y < 2"), matrix, **options)
+        models = linear.search(x, samples.filter("y < 2"), matrix.rows(matrix.y < 2), **options, k_penalty=g.k_penalty)
     else:
-        trace = chains.trace(spark, matrix, **asdict(own), seed=g.seed)
+        trace = chains.trace(spark, matrix.rows(matrix.y < 2), **options, seed=g.seed)
         models = chains.consensus_model(chains.summary(trace)).withColumn("k", F.size("terms").cast("long"))
     models = models.withColumn("term_key", population.term_key())
-    if "threshold" not in models.columns:
-        models = models.select("model_id", "term_key", "terms", "k").persist()
-        models = models.join(dense.fit(models, matrix, g.language, g.data_type), "model_id").withColumn("fit", F.col("auc") - F.col("k") * g.k_penalty)
-    return population.ranked(population.remove_clones(models.select(*COLUMNS)))
+    if "lower" not in models.columns:
+        models = population.listed(models.select("model_id", "term_key", "terms", "k"))
+        models = goals.fitted(models, matrix, aim, g.language, g.data_type)
+    return population.listed(population.ranked(population.remove_clones(models.select(*COLUMNS))))
 
 
 def evaluated(models: DataFrame, x: DataFrame, samples: DataFrame, p: store.Params, stats: DataFrame | None = None) -> DataFrame:
     """``model_id, sample_id, y, score, predicted`` of models with thresholds, in blocks small enough to broadcast."""
     g = p.general
     parts = [scores.evaluate(block, x, samples, g.language, g.data_type, g.epsilon, stats) for block in scores.in_blocks(models)]
-    all_ = reduce(DataFrame.unionByName, parts).join(models.select("model_id", "threshold"), "model_id")
-    return all_.select("model_id", "sample_id", "y", "score", fs.predicted(F.col("score"), F.col("threshold")).alias("predicted"))
+    all_ = reduce(DataFrame.unionByName, parts).join(models.select("model_id", "threshold", "lower", "upper"), "model_id")
+    s, t, lo, hi = (F.col(c) for c in ("score", "threshold", "lower", "upper"))
+    return all_.select("model_id", "sample_id", "y", "score", F.when(lo.isNotNull(), fs.predicted(s, t, lo, hi)).otherwise(fs.predicted(s, t)).alias("predicted"))
 
 
 def on_new_data(models: DataFrame, x: DataFrame, samples: DataFrame, p: store.Params, stats: DataFrame | None = None) -> DataFrame:
     """``model_id, term_key`` and AUC and class metrics of fitted models on other samples.
 
     Thresholds (and means and deviations: ``stats``) are those of the training data. A feature
-    without values reads as zeros.
+    without values reads as zeros. Of a continuous target, the fit.
     """
     rows = evaluated(models, x, samples, p, stats)
+    if p.general.fit in store.REGRESSIONS:
+        return models.select("model_id", "term_key").join(fitness.FITS[p.general.fit](rows), "model_id")
     out = roc.auc(rows).join(roc.class_metrics(rows), "model_id")
     return models.select("model_id", "term_key").join(out, "model_id")
 
@@ -114,55 +142,122 @@ def experts(models: DataFrame, p: store.Params) -> DataFrame:
     return kept.withColumn("weight", F.lit(1.0))
 
 
+def pruned(models: DataFrame, x: DataFrame, samples: DataFrame, p: store.Params) -> DataFrame:
+    """Models without the terms that the training samples don't need, fitted and ranked anew; those pruned to the same are one."""
+    g, v = p.general, p.vote
+    matrix = dense.Matrix(x.join(F.broadcast(models.select(F.explode("terms.f").alias("feature_id")).distinct()), "feature_id"), samples, known=not g.bootstrap)
+    fall = importance.of_models(models, matrix, x, v.prune_permutations, g.seed, g.language, g.data_type, g.epsilon)
+    kept = importance.pruned(models.select("model_id", "terms"), fall, v.prune_below, v.prune_min_k).withColumn("term_key", population.term_key()).withColumn("k", F.size("terms").cast("long")).persist()
+    out = goals.fitted(kept, matrix, goal(matrix, samples, p), g.language, g.data_type, g.epsilon)
+    return population.ranked(population.remove_clones(out.select(*COLUMNS)))
+
+
+def ballots(jury: DataFrame, x: DataFrame, samples: DataFrame, p: store.Params, stats: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    votes = evaluated(jury, x, samples, p, stats).select("model_id", "sample_id", "y", F.col("predicted").alias("vote"))
+    return votes, jury.select("model_id", "weight", *(["side"] if "side" in jury.columns else []))
+
+
+def fitted_jury(family: DataFrame, x: DataFrame, samples: DataFrame, p: store.Params, stats: DataFrame | None = None) -> DataFrame:
+    """Experts with weights and ``vote_threshold``: the given one, or, if that is 0, the best of a grid on the training samples."""
+    v = p.vote
+    jury = population.listed(experts(pruned(family, x, samples, p) if v.prune else family, p))
+    threshold = v.threshold
+    if threshold == 0 and v.method == "majority":
+        votes, own = ballots(jury, x, samples, p, stats)
+        threshold = voting.fitted_threshold(votes, own, samples.count(), v.window)
+    return jury.withColumn("vote_threshold", F.lit(float(threshold)))
+
+
 def voted(jury: DataFrame, x: DataFrame, samples: DataFrame, p: store.Params, stats: DataFrame | None = None) -> DataFrame:
-    """``sample_id, y, ratio, predicted`` of a jury (``experts``)."""
+    """``sample_id, y, ratio, predicted`` of a fitted jury, whose threshold is its own."""
     v = p.vote
-    votes = evaluated(jury, x, samples, p, stats).select("model_id", "sample_id", "y", F.col("predicted").alias("vote"))
-    own = jury.select("model_id", "weight", *(["side"] if "side" in jury.columns else []))
-    return voting.consensus(votes, own, v.threshold) if v.method == "consensus" else voting.majority(votes, own, v.threshold, v.window)
+    votes, own = ballots(jury, x, samples, p, stats)
+    first = jury.select("vote_threshold").first()
+    threshold = first[0] if first else v.threshold
+    return voting.consensus(votes, own, threshold) if v.method == "consensus" else voting.majority(votes, own, threshold, v.window)
 
 
 def run_on_data(x: DataFrame, samples: DataFrame, p: store.Params, test: tuple[DataFrame, DataFrame] | None = None) -> Outcome:
-    """One run: ``test`` is (x, samples) held out; without it, the holdout share of the samples is."""
+    """One run: ``test`` is (x, samples) held out; without it, the holdout share of the samples is.
+
+    A continuous target is divided without strata, and no jury votes on it.
+    """
     x = x.persist()  # read by the screening, the search and the judgement
+    continuous = p.general.fit in store.REGRESSIONS
     if test is None:
-        split = resampling.holdout(samples, p.data.holdout, p.general.seed)
+        split = resampling.holdout_unstratified(samples, p.data.holdout, p.general.seed) if continuous else resampling.holdout(samples, p.data.holdout, p.general.seed)
         train, test = part(samples, split.filter("not test")), (x, part(samples, split.filter("test")))
     else:
         train = samples
     own = x.join(train.select("sample_id"), "sample_id", "left_semi").select(*x.columns)
     stats = dataset.zscore_stats(own, train) if p.general.data_type == "zscore" else None
-    chosen = selection(own, train, p).persist()
-    models = found(own, train, chosen, p).persist()
-    family = population.family(models, p.vote.alpha)
-    jury = voted(experts(family, p), *test, p, stats)
-    return Outcome(p, chosen, models, family, on_new_data(family, *test, p, stats), jury, stats)
+    chosen = population.listed(selection(own, train, p))
+    models = found(own, train, chosen, p)
+    family = population.listed(population.family(models, p.vote.alpha))
+    jury = family.limit(0).withColumn("weight", F.lit(1.0)).withColumn("vote_threshold", F.lit(p.vote.threshold)) if continuous else fitted_jury(family, own, train, p, stats)
+    votes = x.sparkSession.createDataFrame([], "sample_id long, y double, ratio double, predicted int") if continuous else voted(jury, *test, p, stats)
+    return Outcome(p, chosen, models, family, on_new_data(family, *test, p, stats), jury, votes, stats)
 
 
 @dataclass
 class CrossValidated:
-    """``family``: every fold's family with its validation metrics; ``importance``: over folds."""
+    """``family``: every fold's family with its validation metrics; ``importance``: of features in every fold; ``features``: over folds."""
 
     family: DataFrame
     importance: DataFrame
+    features: DataFrame
 
 
-def run_cv(x: DataFrame, samples: DataFrame, p: store.Params, assignment: DataFrame | None = None) -> CrossValidated:
-    """A run per fold on the other folds; each fold's family is judged on the fold it hasn't seen.
+def run_cv(x: DataFrame, samples: DataFrame, p: store.Params, assignment: DataFrame | None = None, at_once: int = 5) -> CrossValidated:
+    """A search per fold on the other folds; each fold's family is judged on the fold it hasn't seen.
 
-    ``assignment``: sample_id, fold from 0 (by default drawn within classes).
+    The folds' searches are jobs of one session, up to ``at_once`` at a time, over one stored x; what
+    they leave is written once. ``assignment``: sample_id, fold from 0 (by default drawn within
+    classes, without them for a continuous target). Importance is that of the training samples, or
+    of the validation samples if ``folds.fit_on_valid``, which also fits and ranks the models anew on
+    them before the family is taken.
     """
-    f, x = p.folds, x.persist()
-    folds = resampling.folds(samples, f.outer, p.general.seed) if assignment is None else assignment
-    families, falls = [], []
-    for k in range(f.outer):
-        valid = part(samples, folds.filter(F.col("fold") == k))
-        out = run_on_data(x, part(samples, folds.filter(F.col("fold") != k)), replace(p, vote=replace(p.vote, alpha=f.alpha)), (x, valid))
-        own = population.family(out.models, f.alpha, f.method).select(*COLUMNS, "rank").persist()
-        judged = on_new_data(own, x, valid, p, out.stats).select("model_id", F.col("auc").alias("valid_auc"), F.col("accuracy").alias("valid_accuracy"))
-        families.append(own.join(judged, "model_id").withColumn("fold", F.lit(k)))
-        if p.general.data_type == "raw" and p.general.language != "ratio":
-            fall = importance.mda(own, evaluated(own, x, valid, p), x, valid, p.importance.permutations, p.general.seed)
-            falls.append(importance.over_models(fall, max(own.count(), 1)).select(F.lit(k).alias("fold"), "feature_id", "importance"))
-    empty = x.sparkSession.createDataFrame([], "fold int, feature_id int, importance double")
-    return CrossValidated(reduce(DataFrame.unionByName, families), importance.over_folds(reduce(DataFrame.unionByName, falls, empty), f.outer))
+    f, g, spark = p.folds, p.general, x.sparkSession
+    continuous = g.fit in store.REGRESSIONS
+    folds = (resampling.folds(samples, f.outer, g.seed, [] if continuous else None) if assignment is None else assignment).persist()
+    x, samples = x.persist(), samples.persist()
+    x.count()
+
+    def one(k: int) -> tuple[list, list, set]:
+        train, valid = (part(samples, folds.filter(cond)) for cond in (F.col("fold") != k, F.col("fold") == k))
+        own = x.join(F.broadcast(train.select("sample_id")), "sample_id", "left_semi").select(*x.columns)
+        stats = dataset.zscore_stats(own, train) if g.data_type == "zscore" else None
+        chosen = population.listed(selection(own, train, p))
+        models = found(own, train, chosen, p)
+        if f.fit_on_valid:
+            models = refitted(models, x, valid, p)
+        family = population.listed(population.family(models, f.alpha, f.method).select(*COLUMNS, "rank"))
+        n = family.count()
+        judged = on_new_data(family, x, valid, p, stats)
+        keep = [F.col(c).alias(f"valid_{c}") for c in (("fit",) if continuous else ("auc", "accuracy", "sensitivity", "specificity"))]
+        rows = family.join(judged.select("model_id", *keep), "model_id").withColumn("fold", F.lit(k)).collect()  # a family, a bounded list
+        falls = []
+        if not continuous and n:
+            matrix = dense.Matrix(x.join(F.broadcast(family.select(F.explode("terms.f").alias("feature_id")).distinct()), "feature_id"), valid if f.fit_on_valid else train)
+            fall = importance.of_models(family, matrix, x, p.importance.permutations, g.seed, g.language, g.data_type, g.epsilon)
+            per = importance.over_models_median(fall, n, p.importance.scaled) if p.importance.aggregation == "median" else importance.over_models(fall, n, p.importance.scaled)
+            falls = [(k, *r) for r in per.select("feature_id", "importance", "dispersion", "scope_pct").collect()]  # a row for each feature
+        significant = {(k, r["feature_id"]) for r in chosen.select("feature_id").collect()}
+        return rows, falls, significant
+
+    with ThreadPoolExecutor(max_workers=at_once) as pool:
+        parts = list(pool.map(one, range(f.outer)))
+    valid = ", ".join(f"valid_{c} double" for c in (("fit",) if continuous else ("auc", "accuracy", "sensitivity", "specificity")))
+    ddl = ", ".join(f"{c} {t}" for c, t in TYPES.items()) + f", rank int, {valid}, fold int"
+    family = spark.createDataFrame([r for rows, _, _ in parts for r in rows], ddl)
+    falls = spark.createDataFrame([r for _, rows, _ in parts for r in rows], "fold int, feature_id int, importance double, dispersion double, scope_pct double")
+    significant = spark.createDataFrame(sorted(set().union(*(s for _, _, s in parts))), "fold int, feature_id int")
+    return CrossValidated(family, falls, importance.of_collection(falls, significant, f.outer, p.importance.aggregation))
+
+
+def refitted(models: DataFrame, x: DataFrame, samples: DataFrame, p: store.Params) -> DataFrame:
+    """Models fitted and ranked on other samples, by the same goal without inner folds."""
+    g = p.general
+    matrix = dense.Matrix(x.join(F.broadcast(models.select(F.explode("terms.f").alias("feature_id")).distinct()), "feature_id"), samples, known=g.fit in store.CLASSES and not g.bootstrap)
+    aim = goal(matrix, samples, replace(p, folds=replace(p.folds, inner=0)))
+    return population.listed(population.ranked(goals.fitted(models.select("model_id", "term_key", "terms", "k"), matrix, aim, g.language, g.data_type, g.epsilon).select(*COLUMNS)))

@@ -69,6 +69,32 @@ def threshold_grid(votes: DataFrame, experts: DataFrame, step: float) -> DataFra
     return m.withColumn("best", F.row_number().over(Window.orderBy(F.round("youden", 12).desc(), "i")) == 1).drop("i")
 
 
+def grid_step(samples: int) -> float:
+    """Thresholds are tried at finer steps the more samples there are."""
+    return 0.1 if samples <= 50 else 0.05 if samples <= 200 else 0.01
+
+
+def youden_grid(votes: DataFrame, experts: DataFrame, step: float, window: float = 0.0) -> DataFrame:
+    """``i, threshold, youden`` of the majority thresholds inside (0, 1), of samples on which the jury doesn't abstain.
+
+    Ratios are counted first, so the grid multiplies distinct ratios, not samples.
+    """
+    steps = round(1 / step)
+    c = counted(votes, experts).filter("y < 2 and total > 0").groupBy(ratio().alias("ratio")).agg(F.count_if(F.col("y") == 1).alias("p"), F.count_if(F.col("y") == 0).alias("n"))
+    g = c.withColumn("i", F.explode(F.sequence(F.lit(1), F.lit(steps - 1)))).withColumn("threshold", F.col("i") * F.lit(step))
+    g = g.filter(F.abs(F.col("ratio") - F.col("threshold")) >= window / 100)
+    one = F.col("ratio") >= F.col("threshold")
+    m = g.groupBy("i", "threshold").agg(*[F.sum(F.when(cond, F.col(k)).otherwise(0)).alias(name) for name, cond, k in (("tp", one, "p"), ("fn", ~one, "p"), ("fp", one, "n"), ("tn", ~one, "n"))])
+    share = lambda a, b: F.when(F.col(a) + F.col(b) > 0, F.col(a) / (F.col(a) + F.col(b))).otherwise(0.0)
+    return m.select("i", "threshold", (share("tp", "fn") + share("tn", "fp") - 1.0).alias("youden"))
+
+
+def fitted_threshold(votes: DataFrame, experts: DataFrame, samples: int, window: float = 0.0) -> float:
+    """The lowest threshold of the highest Youden index above 0; one half if there is none."""
+    best = youden_grid(votes, experts, grid_step(samples), window).filter(F.round("youden", 12) > 0).orderBy(F.round("youden", 12).desc(), "i").first()
+    return best["threshold"] if best else 0.5
+
+
 def inconsistency(votes: DataFrame) -> DataFrame:
     """``sample_id, inconsistency``: one less the share of the most frequent vote, abstentions being votes."""
     n = votes.groupBy("sample_id", "vote").agg(F.count("*").alias("n"))

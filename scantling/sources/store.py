@@ -9,6 +9,12 @@ from dataclasses import asdict, dataclass, field, fields
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Fits by class, fits of a continuous target, and the searches that take any of them.
+CLASSES = ("auc", "mcc", "f1_score", "npv", "ppv", "g_mean", "sensitivity", "specificity")
+REGRESSIONS = ("spearman", "pearson", "neg_rmse", "mutual_info")
+SEARCHES = ("beam", "ga", "aco")
+
+
 @dataclass
 class General:
     seed: int = 4815162342
@@ -22,6 +28,8 @@ class General:
     ci_penalty: float = 0.5
     ci_alpha: float = 0.05
     bootstrap: int = 0
+    bootstrap_fraction: float = 1.0
+    other_side_penalty: float = 1.0
 
 
 @dataclass
@@ -106,6 +114,9 @@ class Gibbs:
 @dataclass
 class Folds:
     outer: int = 5
+    inner: int = 0
+    overfit_penalty: float = 0.0
+    fit_on_valid: bool = False
     alpha: float = 0.05
     method: str = "wilson"
 
@@ -122,11 +133,17 @@ class Vote:
     specialized: bool = False
     sensitivity: float = 0.7
     specificity: float = 0.7
+    prune: bool = False
+    prune_below: float = 0.0
+    prune_min_k: int = 10
+    prune_permutations: int = 1000
 
 
 @dataclass
 class Importance:
     permutations: int = 100
+    aggregation: str = "mean"
+    scaled: bool = False
 
 
 @dataclass
@@ -164,6 +181,14 @@ class Params:
             (g.algo in ("ga", "beam", "aco", "sa", "ils", "lasso", "mcmc"), "algo"),
             (0 < g.ci_alpha < 1, "ci_alpha"),
             (g.bootstrap == 0 or g.bootstrap >= 100, "bootstrap: none, or 100 and more"),
+            (0 < g.bootstrap_fraction <= 1, "bootstrap_fraction"),
+            (g.fit in CLASSES + REGRESSIONS, "fit"),
+            (g.fit == "auc" or g.algo in SEARCHES, "fit: chains and paths know auc only"),
+            (g.fit not in REGRESSIONS or g.language != "binary", "fit: a continuous target has no class that binary models could be of"),
+            (self.folds.inner == 0 or (self.folds.inner >= 2 and g.algo in SEARCHES), "folds: inner; chains and paths have none"),
+            (min(g.k_penalty, g.bias_penalty, g.ci_penalty, g.other_side_penalty, self.folds.overfit_penalty) >= 0, "penalties"),
+            (self.importance.aggregation in ("mean", "median"), "importance: aggregation"),
+            (v.prune_permutations >= 1 and v.prune_min_k >= 1, "vote: prune_permutations, prune_min_k"),
             (0 <= d.holdout < 1, "holdout"),
             (d.test in ("wilcoxon", "studentt", "bayesian_fisher"), "test"),
             (0 <= d.min_prevalence <= 1, "min_prevalence"),
