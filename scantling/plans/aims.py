@@ -117,7 +117,7 @@ vl AS (SELECT feature_id AS f, value, row_number() OVER (PARTITION BY feature_id
 nw AS (SELECT f, perm, sample_id, value FROM pl JOIN vl USING (f, place)),
 md AS (SELECT model_id, f AS pf, perm FROM terms, (SELECT range::INT AS perm FROM range({PERMUTED})) UNION ALL SELECT DISTINCT model_id, -1, 0 FROM terms),
 vv AS (SELECT md.model_id, md.pf, md.perm, kn.sample_id, kn.y, t.f, t.c, CASE WHEN t.f = md.pf THEN nw.value ELSE x.value END AS v FROM md JOIN terms t USING (model_id) CROSS JOIN kn LEFT JOIN x ON x.feature_id = t.f AND x.sample_id = kn.sample_id LEFT JOIN nw ON nw.f = t.f AND nw.perm = md.perm AND nw.sample_id = kn.sample_id),
-ps AS (SELECT model_id, pf, perm, sample_id, any_value(y) AS y, {score} AS score FROM vv t {join} GROUP BY 1, 2, 3, 4), pr AS (SELECT model_id, pf, perm, y, round(score, 9) AS score FROM ps),
+ps AS (SELECT model_id, pf, perm, sample_id, any_value(y) AS y, {score} AS score FROM vv t {join} GROUP BY 1, 2, 3, 4), pr AS (SELECT model_id, pf, perm, y, {'round(score, 9)' if data_type in ('log', 'zscore') else 'score'} AS score FROM ps),
 {base.auc('pr', 'pa', 'model_id, pf, perm')}, im AS (SELECT a.model_id, a.pf AS feature_id, any_value(b.auc) - avg(a.auc) AS importance FROM pa a JOIN pa b ON b.model_id = a.model_id AND b.pf = -1 WHERE a.pf >= 0 GROUP BY 1, 2)"""
 
 
