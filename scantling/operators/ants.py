@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -49,6 +51,40 @@ def deposit(pheromone: DataFrame, models: DataFrame, amount: str = "amount", hig
     return j.select("feature_id", F.least(F.col("tau_pos") + F.coalesce("dp", F.lit(0.0)), F.lit(high)).alias("tau_pos"), F.least(F.col("tau_neg") + F.coalesce("dn", F.lit(0.0)), F.lit(high)).alias("tau_neg"))
 
 
+def trimmed(models: DataFrame, matrix: dense.Matrix, k_penalty: float = 0.0, language: str = "ternary", data_type: str = "raw", epsilon: float = dense.EPSILON) -> DataFrame:
+    """``model_id, terms``: each model without the terms it is as good without.
+
+    Terms are tried in order; one goes if the AUC without it, less the size penalty, is at least that
+    of the whole model at the size before. A model keeps one term.
+    """
+    shared = models.sparkSession.sparkContext.broadcast(matrix)
+
+    def run(batches):
+        m = shared.value
+        m = m.rows(m.y < 2)
+        g = m.read(data_type, epsilon)
+        for pdf in batches:
+            out = []
+            for f, c in zip(pdf["f"], pdf["c"]):
+                f, c = np.asarray(f), np.asarray(c, float)
+                at, keep = np.searchsorted(m.features, f), np.ones(len(f), bool)
+                whole = dense.auc(m.scores(at, c, language, g, data_type, epsilon), m.y)
+                for k in range(len(f)):
+                    if keep.sum() == 1:
+                        break
+                    keep[k] = False
+                    less = dense.auc(m.scores(at[keep], c[keep], language, g, data_type, epsilon), m.y)
+                    keep[k] = round(less - whole + k_penalty, dense.DIGITS) < 0
+                out.append([{"f": int(a), "c": int(b)} for a, b, x in zip(f, c, keep) if x])
+            yield pd.DataFrame({"model_id": pdf["model_id"], "terms": out})
+
+    return models.select("model_id", F.col("terms.f").alias("f"), F.col("terms.c").alias("c")).mapInPandas(run, "model_id long, terms array<struct<f:int,c:int>>")
+
+
+#: Models of an iteration whose terms are tried.
+TRIMMED = 5
+
+
 def entropy(pheromone: DataFrame) -> DataFrame:
     """Entropy of the features' pheromone over its maximum: 1 without pheromone, 0 with one feature."""
     t = F.col("tau_pos") + F.col("tau_neg")
@@ -72,7 +108,13 @@ def search(selection: DataFrame, matrix: dense.Matrix, ants: int = 50, iteration
         models = construct(probabilities(tau, eta), ants, k_min, k_max, seed + i)
         models = models.withColumn("model_id", F.col("model_id") + i * (1 << 32)).withColumn("term_key", population.term_key()).withColumn("k", F.size("terms").cast("long"))
         models = population.remove_clones(population.remove_stillborn(models, language))
-        out = population.ranked(goals.fitted(models, matrix, goal or goals.Goal(k_penalty=k_penalty), language))
+        aim = goal or goals.Goal(k_penalty=k_penalty)
+        first = population.listed(population.ranked(goals.fitted(models, matrix, aim, language)))  # at most one per ant
+        columns = ["model_id", "terms"]
+        less = trimmed(first.filter(F.col("rank") < TRIMMED), matrix, aim.k_penalty, language) if aim.fold is None and not aim.regression else first.filter(F.col("rank") < TRIMMED).select(columns)
+        models = first.filter(F.col("rank") >= TRIMMED).select(columns).unionByName(less).withColumn("term_key", population.term_key()).withColumn("k", F.size("terms").cast("long"))
+        models = population.remove_clones(population.remove_stillborn(models, language))
+        out = population.ranked(goals.fitted(population.listed(models), matrix, aim, language))
         rows = out.collect()  # at most one per ant
         if not rows:
             continue

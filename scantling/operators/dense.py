@@ -22,11 +22,14 @@ class Matrix:
 
     def __init__(self, x: DataFrame, samples: DataFrame, most: int = MOST_CELLS, known: bool = True):
         samples = samples.filter("y < 2") if known else samples
-        n, f = samples.count(), x.select("feature_id").distinct().count()
+        own = x.join(samples.select("sample_id"), "sample_id", "left_semi").select("sample_id", "feature_id", "value").persist()  # read twice
+        n, f = samples.count(), own.select("feature_id").distinct().count()
         if n * f > most:
+            own.unpersist()
             raise ValueError(f"{n} x {f} cells; use operators.scores")
         s = samples.orderBy("sample_id").toPandas()
-        v = x.join(samples.select("sample_id"), "sample_id", "left_semi").toPandas()
+        v = own.toPandas()
+        own.unpersist()
         self.samples, self.y = s["sample_id"].to_numpy(), s["y"].to_numpy()
         self.features = np.sort(v["feature_id"].unique())
         self.values = np.zeros((len(s), len(self.features)))
@@ -123,6 +126,34 @@ def best_threshold(scores: np.ndarray, y: np.ndarray, fit: str = "auc", penaltie
     return {"threshold": float(at[k]), "accuracy": float((tp[k] + tn[k]) / len(y)), "sensitivity": float(tp[k] / p.sum()), "specificity": float(tn[k] / n.sum()), "objective": float(o[k])}
 
 
+def without_each(m: Matrix, f, c: np.ndarray, language: str, g: np.ndarray, data_type: str, epsilon: float):
+    """Scores of a model without each of its terms: of sums the score less the term's column, else scored anew."""
+    at = np.searchsorted(m.features, f)
+    if language == "ratio":
+        for k in range(len(at)):
+            keep = np.arange(len(at)) != k
+            yield m.scores(at[keep], c[keep], language, g, data_type, epsilon)
+        return
+    whole = g[:, at] @ c
+    for k in range(len(at)):
+        yield whole - g[:, at[k]] * c[k]
+
+
+def leave_one_out(models: DataFrame, matrix: Matrix, language: str = "ternary", data_type: str = "raw", epsilon: float = EPSILON) -> DataFrame:
+    """``model_id, feature_id, auc`` of every model without each of its terms."""
+    shared = models.sparkSession.sparkContext.broadcast(matrix)
+
+    def run(batches):
+        m = shared.value
+        m = m.rows(m.y < 2)
+        g = m.read(data_type, epsilon)
+        for pdf in batches:
+            out = [(i, int(x), auc(s, m.y)) for i, f, c in zip(pdf["model_id"], pdf["f"], pdf["c"]) for x, s in zip(f, without_each(m, f, np.asarray(c, float), language, g, data_type, epsilon))]
+            yield pd.DataFrame(out, columns=["model_id", "feature_id", "auc"])
+
+    return models.select("model_id", F.col("terms.f").alias("f"), F.col("terms.c").alias("c")).mapInPandas(run, "model_id long, feature_id int, auc double")
+
+
 FITTED = "model_id long, auc double, threshold double, accuracy double, sensitivity double, specificity double, objective double"
 
 

@@ -7,7 +7,7 @@ from math import ceil, floor
 from pyspark.sql import functions as F
 
 from ..functions.hashing import draw_sql
-from ..operators import beam, dense, goals, importance, resampling, run, voting
+from ..operators import ants, beam, dense, goals, importance, resampling, run, voting
 from ..sources import fixtures as fx
 from ..sources.store import Params
 from . import base, ranking, runs
@@ -137,6 +137,27 @@ query("mda_pruned_by_quantile", f"{IM}, rd AS (SELECT model_id, feature_id, roun
     lambda spark, sf: (lambda i: importance.pruned_by_quantile(fx.models(fx.abundance(spark, sf), SOME), i, 0.5, 0.001, 2).select("model_id", F.explode("terms.f").alias("feature_id")))(r(falls(spark, sf, "ratio", "raw"), "importance", digits=6))
 )
 
+# ---------------------------------------------------------------- models without a term
+
+_LESS = f"WITH {base.X}, {base.SAMPLES}, {base.terms(20)}, dr AS (SELECT DISTINCT a.model_id * 1000 + b.f AS model_id, a.f, a.c FROM terms a JOIN terms b ON a.model_id = b.model_id AND a.f <> b.f), {base.scores(source='dr')}, {base.auc()}"
+query("leave_one_out", f"{_LESS} SELECT (model_id // 1000)::BIGINT AS model_id, (model_id % 1000)::INT AS feature_id, round(auc, 9) AS auc FROM aucs")(
+    lambda spark, sf: (lambda x: r(dense.leave_one_out(fx.models(x, 20), dense.Matrix(x, fx.abundance_samples(spark, sf))), "auc"))(fx.abundance(spark, sf))
+)
+#: The first term of each model that isn't missed, as the search would drop it.
+query("aco_first_removal", f"{_LESS}, wh AS (SELECT model_id AS id, auc AS whole FROM (WITH {base.scores().replace('sc AS', 'sw AS')}, {base.auc('sw', 'aw')} SELECT * FROM aw)), lo AS (SELECT (model_id // 1000)::BIGINT AS id, (model_id % 1000)::INT AS feature_id, auc FROM aucs) SELECT id AS model_id, min(feature_id) FILTER (round(auc - whole + 0.001::DOUBLE, 12) >= 0) AS feature_id FROM lo JOIN wh USING (id) GROUP BY 1")(
+    lambda spark, sf: first_removal(spark, sf)
+)
+
+
+def first_removal(spark, sf):
+    """The first term that ``ants.trimmed`` drops of each model (null: none)."""
+    x = fx.abundance(spark, sf)
+    models = fx.models(x, 20)
+    less = ants.trimmed(models, dense.Matrix(x, fx.abundance_samples(spark, sf)), 0.001).select("model_id", F.col("terms.f").alias("kept"))
+    both = models.join(less, "model_id")
+    return both.select("model_id", F.array_min(F.array_except("terms.f", "kept")).alias("feature_id"))
+
+
 # ---------------------------------------------------------------- juries fitted on training samples
 
 FITTED = runs.PARAMS | {"vote": runs.PARAMS["vote"] | {"threshold": 0.0, "window": 5.0}}

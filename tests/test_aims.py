@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from scantling.functions.metrics import OBJECTIVES
-from scantling.operators import dense, fitness, goals, importance, population, resampling, run
+from scantling.operators import ants, dense, fitness, goals, importance, population, resampling, run
 from scantling.sources import store
 
 
@@ -191,6 +191,23 @@ def test_cross_validated_run_equals_its_folds(spark, on_valid):
     assert features.keys() == per.keys() and all(math.isclose(features[f].importance, np.median(v) if on_valid else np.mean(v), abs_tol=1e-12) and features[f].scope_pct == 1.0 for f, v in per.items())
 
 
+@pytest.mark.parametrize("language,k_penalty", [("ternary", 0.0), ("ternary", 0.02), ("ratio", 0.005)])
+def test_trimmed_models_by_hand(spark, language, k_penalty):
+    x, samples = toy(spark, unknown=5)
+    m = dense.Matrix(x, samples, known=False)
+    rows = [(1, [(0, 1), (1, -1), (3, 1), (5, 1)]), (2, [(2, 1), (4, -1), (5, -1)]), (3, [(0, 1)]), (4, [(1, 1), (2, -1)])]
+    got = {r.model_id: [(t.f, t.c) for t in r.terms] for r in ants.trimmed(spark.createDataFrame(rows, "model_id long, terms array<struct<f:int,c:int>>"), m, k_penalty, language).collect()}
+    known = m.rows(m.y < 2)
+    of = lambda terms: dense.auc(known.scores(np.array([t[0] for t in terms]), np.array([t[1] for t in terms], float), language, known.values), known.y)
+    for i, terms in rows:
+        whole, left = of(terms), list(terms)
+        for t in terms:
+            rest = [a for a in left if a != t]
+            if rest and round(of(rest) - whole + k_penalty, 12) >= 0:
+                left = rest
+        assert got[i] == left
+
+
 def test_listed_keeps_rows_and_types(spark):
     df = spark.createDataFrame([(1, [(2, -1)], None)], "a long, terms array<struct<f:int,c:int>>, d double")
     assert population.listed(df).schema == df.schema and population.listed(df).collect() == df.collect()
