@@ -30,7 +30,7 @@ COLUMNS = tuple(TYPES)
 
 @dataclass
 class Outcome:
-    """What a run leaves: tables, and the parameters that made them."""
+    """What a run leaves: tables, and the parameters that made them; ``train`` and ``held``: the (x, samples) it had."""
 
     params: store.Params
     selection: DataFrame
@@ -40,6 +40,8 @@ class Outcome:
     experts: DataFrame
     jury: DataFrame
     stats: DataFrame | None
+    train: tuple[DataFrame, DataFrame] | None = None
+    held: tuple[DataFrame, DataFrame] | None = None
 
     def save(self, folder: str, more: dict[str, DataFrame] | None = None) -> None:
         tables = {"selection": self.selection, "models": self.models, "family": self.family, "tested": self.tested, "experts": self.experts, "jury": self.jury}
@@ -196,7 +198,7 @@ def run_on_data(x: DataFrame, samples: DataFrame, p: store.Params, test: tuple[D
     family = population.listed(population.family(models, p.vote.alpha))
     jury = family.limit(0).withColumn("weight", F.lit(1.0)).withColumn("vote_threshold", F.lit(p.vote.threshold)) if continuous else fitted_jury(family, own, train, p, stats)
     votes = x.sparkSession.createDataFrame([], "sample_id long, y double, ratio double, predicted int") if continuous else voted(jury, *test, p, stats)
-    return Outcome(p, chosen, models, family, on_new_data(family, *test, p, stats), jury, votes, stats)
+    return Outcome(p, chosen, models, family, on_new_data(family, *test, p, stats), jury, votes, stats, (own, train), test)
 
 
 @dataclass
