@@ -8,14 +8,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import draw
-from . import roc
+from . import ranks, roc
 
 
 def shuffled(samples: DataFrame, seed: int, purpose: str, strata: list[str], *ids: str) -> DataFrame:
     """``place``: rank in a random order within each stratum, from 0; ``n``: the stratum's size."""
-    w = Window.partitionBy(*strata)
-    key = [*ids, "sample_id"]
-    return samples.withColumn("_u", draw(seed, purpose, *key)).withColumn("place", F.row_number().over(w.orderBy("_u", "sample_id")) - 1).withColumn("n", F.count("*").over(w)).drop("_u")
+    drawn = samples.withColumn("_u", draw(seed, purpose, *ids, "sample_id"))
+    return ranks.placed(drawn, strata, ["_u", "sample_id"], ranks.draw_block(F.col("_u"))).drop("_u")
 
 
 def chunk(place: Column, n: Column, k: int) -> Column:
@@ -46,9 +45,9 @@ def holdout_unstratified(samples: DataFrame, ratio: float, seed: int) -> DataFra
 
 def random_subset(samples: DataFrame, size: int, seed: int) -> DataFrame:
     """``sample_id`` of about ``size`` samples with the classes' shares kept; positives are rounded, negatives fill up."""
-    rows = shuffled(samples.filter("y < 2"), seed, "subset", ["y"])
-    total = F.count("*").over(Window.partitionBy())
-    pos = F.round(F.lit(size) * F.sum(F.when(F.col("y") == 1, 1).otherwise(0)).over(Window.partitionBy()) / total)
+    known = samples.filter("y < 2")
+    rows = shuffled(known, seed, "subset", ["y"]).crossJoin(F.broadcast(known.agg(F.count("*").alias("total"), F.count_if(F.col("y") == 1).alias("positive"))))
+    pos = F.round(F.lit(size) * F.col("positive") / F.col("total"))
     return rows.withColumn("take", F.when(F.col("y") == 1, pos).otherwise(size - pos)).filter(F.col("place") < F.col("take")).select("sample_id")
 
 
@@ -60,19 +59,17 @@ def bootstrap(samples: DataFrame, replicates: int, seed: int, fraction: float =
     known = samples.filter("y < 2")
     b = known.sparkSession.range(replicates).select(F.col("id").cast("int").alias("replicate"))
     if fraction < 1:
-        rows = known.crossJoin(F.broadcast(b))
-        rows = shuffled(rows, seed, "part", ["replicate", "y"], "replicate")
+        rows = shuffled(known.crossJoin(F.broadcast(b)), seed, "part", ["replicate", "y"], "replicate")
         return rows.filter(F.col("place") < F.ceil(F.col("n") * fraction)).select("replicate", "sample_id", F.lit(1).cast("long").alias("weight"))
-    w = Window.partitionBy("y")
-    members = known.select("y", "sample_id", (F.row_number().over(w.orderBy("sample_id")) - 1).cast("long").alias("place"), F.count("*").over(w).alias("n"))
+    members = ranks.placed(known.select("y", "sample_id"), ["y"], ["sample_id"], ranks.number_block(F.col("sample_id")))
     picks = members.crossJoin(F.broadcast(b)).select("replicate", "y", (draw(seed, "boot", "replicate", "sample_id") % F.col("n")).alias("place"))
     return picks.groupBy("replicate", "y", "place").agg(F.count("*").alias("weight")).join(members, ["y", "place"]).select("replicate", "sample_id", "weight")
 
 
 def replicate_thresholds(scores: DataFrame, boot: DataFrame, fit: str = "auc") -> DataFrame:
-    """Best threshold of every (model, replicate); weighted rows are repeated."""
-    rows = scores.join(boot, "sample_id").withColumn("_r", F.explode(F.sequence(F.lit(1), F.col("weight").cast("int"))))
-    return roc.best_threshold(rows, fit, key=("model_id", "replicate")).select("model_id", "replicate", "threshold")
+    """Best threshold of every (model, replicate); weights are summed by tie group."""
+    rows = scores.join(boot, "sample_id")
+    return roc.best_threshold(rows, fit, key=("model_id", "replicate"), weight="weight").select("model_id", "replicate", "threshold")
 
 
 def percentiles(stats: DataFrame, value: str, replicates: int, alpha: float) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Ranking quality and thresholds from scores: one pass over tie groups per model."""
+"""Ranking quality and thresholds from scores: tie groups per model, ordered in blocks of scores."""
 
 from __future__ import annotations
 
@@ -6,52 +6,63 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import metrics
+from . import ranks
 
 KEY = ("model_id",)
 #: Digits within which objectives of thresholds are compared: equal ones that differ by rounding noise are ties.
 DIGITS = 12
 
 
-def tie_groups(scores: DataFrame, key=KEY) -> DataFrame:
-    """Positives and negatives at each distinct score; unknown labels take no part."""
+def tie_groups(scores: DataFrame, key=KEY, weight: str | None = None) -> DataFrame:
+    """Positives and negatives (or their weights) at each distinct score; unknown labels take no part."""
     y = F.col("y")
-    return scores.filter(y.isin(0.0, 1.0)).groupBy(*key, "score").agg(F.count_if(y == 1).alias("p"), F.count_if(y == 0).alias("n"))
+    count = (lambda own: F.sum(F.when(own, F.col(weight)).otherwise(0))) if weight else F.count_if
+    return scores.filter(y.isin(0.0, 1.0)).groupBy(*key, "score").agg(count(y == 1).alias("p"), count(y == 0).alias("n"))
 
 
 def auc(scores: DataFrame, key=KEY) -> DataFrame:
-    """Share of (positive, negative) pairs in order, ties one half; 0.5 without either class."""
-    above = Window.partitionBy(*key).orderBy(F.col("score").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    g = tie_groups(scores, key).withColumn("pb", F.coalesce(F.sum("p").over(above), F.lit(0)))
+    """Share of (positive, negative) pairs in order, ties one half; 0.5 without either class.
+
+    Pairs are counted within blocks of scores, then between them: no task sorts all of a model's.
+    """
+    g = tie_groups(scores, key).withColumn("block", ranks.number_block(F.col("score")))
+    lower = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    within = lower(Window.partitionBy(*key, "block").orderBy("score"))
+    g = g.withColumn("below", F.coalesce(F.sum("n").over(within), F.lit(0)))
+    blocks = g.groupBy(*key, "block").agg(F.sum(F.col("p") * F.col("below") + F.lit(0.5) * F.col("n") * F.col("p")).alias("u"), F.sum("p").alias("p"), F.sum("n").alias("n"))
+    blocks = blocks.withColumn("below", F.coalesce(F.sum("n").over(lower(Window.partitionBy(*key).orderBy("block"))), F.lit(0)))
     pairs = F.sum("p") * F.sum("n")
-    u = F.sum(F.col("n") * F.col("pb") + F.lit(0.5) * F.col("n") * F.col("p"))
-    return g.groupBy(*key).agg(F.when(pairs > 0, u / F.when(pairs > 0, pairs)).otherwise(0.5).alias("auc"))
+    u = F.sum(F.col("u") + F.col("p") * F.col("below"))
+    return blocks.groupBy(*key).agg(F.when(pairs > 0, u / F.when(pairs > 0, pairs)).otherwise(0.5).alias("auc"))
+
 
+def running(scores: DataFrame, key=KEY, weight: str | None = None) -> DataFrame:
+    """Tie groups in the order of scores: counts below (``before_``) and of all, and the next score."""
+    g = tie_groups(scores, key, weight).withColumnRenamed("n", "q")
+    return ranks.placed(g, list(key), ["score"], ranks.number_block(F.col("score")), ("p", "q"), "score")
 
-def candidates(scores: DataFrame, key=KEY) -> DataFrame:
+
+def candidates(scores: DataFrame, key=KEY, weight: str | None = None) -> DataFrame:
     """All thresholds a model can have, with their counts.
 
     The first calls every sample positive (threshold: the lowest score); one more after each tie
     group: the next score, or beyond the last one its score + 1.
     """
-    w = Window.partitionBy(*key).orderBy("score")
-    upto, all_ = w.rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy(*key)
-    g = tie_groups(scores, key).select(
-        *key, "score", F.sum("p").over(upto).alias("fn"), F.sum("n").over(upto).alias("tn"), F.sum("p").over(all_).alias("P"), F.sum("n").over(all_).alias("N"),
-        F.lead("score").over(w).alias("next"), F.row_number().over(w).alias("place"),
-    )
-    after = g.select(*key, F.coalesce("next", F.col("score") + 1.0).alias("threshold"), "place", (F.col("P") - F.col("fn")).alias("tp"), (F.col("N") - F.col("tn")).alias("fp"), "tn", "fn")
-    zero = F.lit(0).cast("long")
-    start = g.filter("place = 1").select(*key, F.col("score").alias("threshold"), F.lit(0).alias("place"), F.col("P").alias("tp"), F.col("N").alias("fp"), zero.alias("tn"), zero.alias("fn"))
-    return start.unionByName(after)
+    g = running(scores, key, weight)
+    fn, tn, zero = F.col("before_p") + F.col("p"), F.col("before_q") + F.col("q"), F.lit(0).cast("long")
+    names = ("threshold", "place", "tp", "fp", "tn", "fn")
+    one = lambda *values: F.struct(*[v.alias(n) for v, n in zip(values, names)])
+    after = one(F.coalesce("next", F.col("score") + 1.0), F.col("place") + 1, F.col("all_p") - fn, F.col("all_q") - tn, tn, fn)
+    start = one(F.col("score"), F.col("place"), F.col("all_p"), F.col("all_q"), zero, zero)
+    return g.select(*key, F.inline(F.when(F.col("place") == 0, F.array(start, after)).otherwise(F.array(after))))
 
 
-def best_threshold(scores: DataFrame, fit: str = "auc", penalties: tuple[float, float] | None = None, key=KEY) -> DataFrame:
+def best_threshold(scores: DataFrame, fit: str = "auc", penalties: tuple[float, float] | None = None, key=KEY, weight: str | None = None) -> DataFrame:
     """Per model the lowest threshold of the highest objective: ``threshold, accuracy, sensitivity, specificity, objective`` and counts."""
     tp, fp, tn, fn = (F.col(c) for c in ("tp", "fp", "tn", "fn"))
-    c = candidates(scores, key).withColumn("objective", metrics.objective(fit, tp, fp, tn, fn, penalties))
-    first = F.row_number().over(Window.partitionBy(*key).orderBy(F.round("objective", DIGITS).desc(), "place"))
-    c = c.withColumn("first", first).filter("first = 1")
-    return c.select(
+    c = candidates(scores, key, weight).withColumn("objective", metrics.objective(fit, tp, fp, tn, fn, penalties))
+    best = F.max_by(F.struct("threshold", "objective", "tp", "fp", "tn", "fn"), F.struct(F.round("objective", DIGITS), -F.col("place")))
+    return c.groupBy(*key).agg(best.alias("best")).select(*key, "best.*").select(
         *key, "threshold", ((tp + tn) / (tp + fp + tn + fn)).alias("accuracy"), metrics.sensitivity(tp, fn).alias("sensitivity"),
         metrics.specificity(tn, fp).alias("specificity"), "objective", "tp", "fp", "tn", "fn",
     )
@@ -59,13 +70,12 @@ def best_threshold(scores: DataFrame, fit: str = "auc", penalties: tuple[float,
 
 def weighted_threshold(scores: DataFrame, fpr_penalty: float, fnr_penalty: float, key=KEY) -> DataFrame:
     """The score value that maximizes weighted specificity and sensitivity (``score >= threshold``); the lowest wins."""
-    w = Window.partitionBy(*key).orderBy("score")
-    before, all_ = w.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy(*key)
-    g = tie_groups(scores, key).select(*key, "score", F.coalesce(F.sum("p").over(before), F.lit(0)).alias("fn"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("tn"), F.sum("p").over(all_).alias("P"), F.sum("n").over(all_).alias("N"))
-    sens, spec = (F.col("P") - F.col("fn")) / F.col("P"), F.col("tn") / F.col("N")
-    g = g.filter("P > 0 and N > 0").select(*key, F.col("score").alias("threshold"), sens.alias("sensitivity"), spec.alias("specificity"), ((F.col("P") - F.col("fn") + F.col("tn")) / (F.col("P") + F.col("N"))).alias("accuracy"), metrics.balance(sens, spec, (fpr_penalty, fnr_penalty)).alias("objective"))
-    first = F.row_number().over(Window.partitionBy(*key).orderBy(F.round("objective", DIGITS).desc(), "threshold"))
-    return g.withColumn("first", first).filter("first = 1").drop("first")
+    P, N, fn, tn = (F.col(c) for c in ("all_p", "all_q", "before_p", "before_q"))
+    sens, spec = (P - fn) / P, tn / N
+    g = running(scores, key).filter((P > 0) & (N > 0)).select(*key, F.col("score").alias("threshold"), sens.alias("sensitivity"), spec.alias("specificity"), ((P - fn + tn) / (P + N)).alias("accuracy"), metrics.balance(sens, spec, (fpr_penalty, fnr_penalty)).alias("objective"))
+    values = ("threshold", "sensitivity", "specificity", "accuracy", "objective")
+    best = F.max_by(F.struct(*values), F.struct(F.round("objective", DIGITS), -F.col("threshold")))
+    return g.groupBy(*key).agg(best.alias("best")).select(*key, "best.*")
 
 
 def confusion(classes: DataFrame, key=KEY) -> DataFrame:
