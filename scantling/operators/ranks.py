@@ -44,7 +44,7 @@ def placed(rows: DataFrame, keys: list[str], order: list[str], block: Column, su
         *[F.coalesce(F.sum(f"_sum_{c}").over(before(along)), F.lit(0)).alias(f"_at_{c}") for c in sums], *[F.sum(f"_sum_{c}").over(all_).alias(f"all_{c}") for c in sums], *[F.lead("_first").over(along).alias("_then") for _ in first],
     )
     here = rows.withColumns({"_place": F.row_number().over(own) - 1} | {f"_before_{c}": F.coalesce(F.sum(c).over(before(own)), F.lit(0)) for c in sums} | ({"_next": F.lead(following).over(own)} if following else {}))
-    same = F.col("_block") == F.col("_of")
+    same = F.col("_block").eqNullSafe(F.col("_of"))  # no filter is inferred from it, so both sides read one exchange
     for k in keys:
         same = same & F.col(k).eqNullSafe(F.col(f"_key_{k}"))
     more = [(F.col("_place") + F.col("_at")).alias("place"), "n"] + [e for c in sums for e in ((F.col(f"_before_{c}") + F.col(f"_at_{c}")).alias(f"before_{c}"), F.col(f"all_{c}"))]

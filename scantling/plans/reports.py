@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import functions as F
 
 from ..operators import population, reports, roc, voting
 from ..sources import fixtures as fx
+from ..sources import shared
 from ..streaming import scoring as streaming
 from . import base, ranking, resampling
 from .base import query
@@ -33,8 +32,17 @@ query("report_jury", f"{_M} SELECT 'jury' AS section, '15 experts' AS model, 'NA
 query("model_formulas", f"WITH {base.X}, {base.terms(20)} SELECT model_id, {_FORMULA} AS model FROM terms GROUP BY 1")(lambda spark, sf: fx.models(fx.abundance(spark, sf), 20).select("model_id", reports.formula().alias("model")))
 
 
+_CLOSED = "window_start + 86400 <= (SELECT max(epoch(ts)) FROM events)"
+
+
+@query(
+    "streaming_scores",
+    f"""WITH x AS (SELECT range::INT AS feature_id FROM range(5)), {base.terms(3)}, ev AS (SELECT epoch(date_trunc('day', ts))::BIGINT AS window_start, user_id AS sample_id, {base._CODE} AS f, round(value * 100) AS v FROM events),
+wn AS (SELECT DISTINCT window_start, sample_id FROM ev WHERE {_CLOSED}), sm AS (SELECT window_start, sample_id, f, sum(v) AS v FROM ev GROUP BY 1, 2, 3)
+SELECT wn.window_start, wn.sample_id, t.model_id, round(coalesce(sum(t.c * sm.v), 0), 3)::DOUBLE AS score FROM wn CROSS JOIN terms t LEFT JOIN sm ON sm.window_start = wn.window_start AND sm.sample_id = wn.sample_id AND sm.f = t.f GROUP BY 1, 2, 3""",
+)
 def streamed(spark, sf):
-    """Events as a stream of measurements, scored per user and hour; run to the end of what is there."""
+    """Events as a stream of measurements, scored per user and day (``window_start``: seconds) once a later event closes it; run to the end of what is there."""
     folder = f"{sf}/events.parquet"
     code = F.lit(4)
     for k, name in reversed(list(enumerate(fx.EVENT_CODES))):
@@ -44,11 +52,5 @@ def streamed(spark, sf):
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
     stream = stream.select(F.col("ts").cast("timestamp").alias("ts"), F.col("user_id").alias("sample_id"), code.cast("int").alias("feature_id"), F.round(F.col("value") * 100).alias("value"))
     models = fx.models(spark.range(5).select(F.col("id").cast("int").alias("feature_id")), 3)
-    name = "scantling_stream"
-    out = streaming.scored(stream, models, "1 day", "0 seconds")
-    q = out.writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", tempfile.mkdtemp(prefix="scantling-stream-")).trigger(availableNow=True).start()
-    q.awaitTermination(600)
-    return r(spark.table(name), "score", digits=3)
-
-
-base.QUERIES["streaming_scores"] = streamed
+    out = streaming.written(streaming.scored(stream, models, "1 day", "0 seconds"), shared.folder(spark, "stream"))
+    return r(out.withColumn("window_start", F.col("window_start").cast("long")), "score", digits=3)
