@@ -114,7 +114,7 @@ def diverse(models: DataFrame, threshold_pct: float, niche: str | None = None) -
         return models.limit(0)
 
     def keep(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["fit", "term_key"], ascending=False, kind="stable")
+        pdf = pdf.sort_values("model_id").sort_values(["fit", "term_key"], ascending=False, kind="stable")  # clones: the first one
         kept, sets = [], []
         for i, key in enumerate(pdf["term_key"]):
             own = set(key.split(",")) if key else set()

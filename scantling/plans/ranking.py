@@ -76,7 +76,13 @@ query("model_by_key", f"{M} SELECT model_id, term_key FROM keys WHERE term_key =
 query("union_and_term_key", f"{M} SELECT term_key, count(*) AS n FROM (SELECT * FROM keys UNION ALL SELECT * FROM keys WHERE model_id % 2 = 0) GROUP BY 1")(lambda spark, sf: (lambda m: m.unionByName(m.filter("model_id % 2 = 0")).groupBy("term_key").agg(F.count("*").alias("n")))(keyed(spark, sf)))
 PAIRS = "prs AS (SELECT a.model_id AS a, b.model_id AS b, count(*) AS n FROM terms a JOIN terms b ON a.f = b.f AND a.c = b.c AND a.model_id < b.model_id GROUP BY 1, 2)"
 query("jaccard_pairs", f"{M}, {PAIRS} SELECT a, b, round(1 - n::DOUBLE / (ka.k + kb.k - n), 9) AS dissimilarity FROM prs JOIN keys ka ON ka.model_id = a JOIN keys kb ON kb.model_id = b")(lambda spark, sf: r(population.jaccard_pairs(keyed(spark, sf)), "dissimilarity"))
-query("jaccard_greedy")(lambda spark, sf: population.diverse(fitted(spark, sf), 70.0).select("model_id", "fit"))
+#: Models in order, one after the other: each stays unless one of those that stayed is too near.
+_GREEDY = f"""{P.replace('WITH', 'WITH RECURSIVE', 1)}, o AS (SELECT model_id, fit, row_number() OVER (ORDER BY fit DESC, term_key DESC, model_id) AS i FROM ranked), sz AS (SELECT model_id, count(*)::DOUBLE AS size FROM terms GROUP BY 1),
+cm AS (SELECT a.model_id AS a, b.model_id AS b, count(*)::DOUBLE AS n FROM terms a JOIN terms b ON a.f = b.f AND a.c = b.c AND a.model_id <> b.model_id GROUP BY 1, 2),
+nb AS (SELECT ob.i, list(oa.i) AS near FROM cm JOIN o oa ON oa.model_id = a JOIN o ob ON ob.model_id = b JOIN sz sa ON sa.model_id = a JOIN sz sb ON sb.model_id = b WHERE oa.i < ob.i AND 1 - n / (sa.size + sb.size - n) < 0.7::DOUBLE GROUP BY 1),
+step AS (SELECT 0::BIGINT AS i, []::BIGINT[] AS kept UNION ALL SELECT step.i + 1, CASE WHEN len(list_intersect(kept, coalesce(near, []::BIGINT[]))) = 0 THEN list_append(kept, step.i + 1) ELSE kept END FROM step LEFT JOIN nb ON nb.i = step.i + 1 WHERE step.i < (SELECT count(*) FROM o))
+SELECT model_id, fit FROM o WHERE i IN (SELECT unnest(kept) FROM step WHERE i = (SELECT count(*) FROM o))"""
+query("jaccard_greedy", _GREEDY)(lambda spark, sf: population.diverse(fitted(spark, sf), 70.0).select("model_id", "fit"))
 query("feature_statistics", f"{M}, s AS (SELECT f, count(*)::DOUBLE AS n, (count(*) FILTER (c > 0))::DOUBLE AS pos, (count(*) FILTER (c < 0))::DOUBLE AS neg, avg(abs(c)) AS coefficient, stddev_pop(abs(c)) AS coefficient_std FROM terms GROUP BY 1) SELECT f AS feature_id, round(n / {N}, 9) AS prevalence, CASE WHEN pos / n > 0.66 THEN 1 WHEN neg / n > 0.66 THEN 0 ELSE 2 END AS direction, round(CASE WHEN pos = 0 OR neg = 0 THEN 0 ELSE -(pos / n * log2(pos / n) + neg / n * log2(neg / n)) END, 9) AS sign_entropy, round(coefficient, 9) AS coefficient, round(coefficient_std, 9) AS coefficient_std FROM s")(
     lambda spark, sf: r(population.feature_statistics(keyed(spark, sf)), "prevalence", "sign_entropy", "coefficient", "coefficient_std")
 )

@@ -133,6 +133,8 @@ def test_population_order_and_family(spark):
     fit = m.filter("model_id in (0, 3, 5)")
     assert {r.model_id for r in population.family(fit, 0.05).collect()} == {0, 3}
     assert population.diverse(m.withColumn("terms", m.term_key), 0.0).count() == 0
+    clones = spark.createDataFrame([(k, 0.5, "1:1,2:1" if k % 3 else "7:-1") for k in range(12, 0, -1)], "model_id long, fit double, term_key string")
+    assert sorted(r.model_id for r in population.diverse(clones, 50.0).collect()) == [1, 3]
 
 
 def test_folds_are_even_and_do_not_depend_on_partitions(spark):
