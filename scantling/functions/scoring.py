@@ -27,8 +27,19 @@ def transformed(value: Column, data_type: str, epsilon: Column, mean: Column | N
     raise ValueError(data_type)
 
 
+def kinds(language: str, data_type: str) -> list[tuple[str, str]]:
+    """Every language with every data type of two comma-separated lists; if there are several, models name their own in columns ``language`` and ``data_type``."""
+    return [(a.strip(), b.strip()) for b in data_type.split(",") for a in language.split(",")]
+
+
 def score(language: str, data_type: str, epsilon: Column | float = EPSILON, terms: str = "terms", xs: str = "xs", stats: str | None = None, betas: tuple | None = None) -> Column:
     """``stats``: column map<feature, struct<mean, std>>, needed by z-scores; ``betas``: (a, b, c)."""
+    if len(several := kinds(language, data_type)) > 1:
+        out = F
+        for ratio, own in sorted({(a == "ratio", b) for a, b in several}):
+            mine = ((F.col("language") == "ratio") == F.lit(ratio)) & (F.col("data_type") == own)
+            out = out.when(mine, score("ratio" if ratio else "ternary", own, epsilon, terms, xs, stats))
+        return out
     eps = F.lit(epsilon) if isinstance(epsilon, float) else epsilon
     if data_type == "zscore" and stats is None:
         raise ValueError("z-scores need means and standard deviations")

@@ -99,7 +99,7 @@ def top(pheromone: DataFrame, n: int) -> DataFrame:
     return pheromone.withColumn("tau", F.col("tau_pos") + F.col("tau_neg")).orderBy(F.round("tau", 12).desc(), "feature_id").limit(n)
 
 
-def search(selection: DataFrame, matrix: dense.Matrix, ants: int = 50, iterations: int = 8, k_min: int = 2, k_max: int = 8, rho: float = 0.1, elite_weight: float = 2.0, k_penalty: float = 0.0, language: str = "ternary", seed: int = 4815162342, goal: goals.Goal | None = None) -> DataFrame:
+def search(selection: DataFrame, matrix: dense.Matrix, ants: int = 50, iterations: int = 8, k_min: int = 2, k_max: int = 8, rho: float = 0.1, elite_weight: float = 2.0, k_penalty: float = 0.0, language: str = "ternary", seed: int = 4815162342, goal: goals.Goal | None = None, data_type: str = "raw", epsilon: float = dense.EPSILON) -> DataFrame:
     """All distinct models of the last iteration and the best ever, ranked."""
     spark = selection.sparkSession
     eta = heuristic(selection)
@@ -109,12 +109,12 @@ def search(selection: DataFrame, matrix: dense.Matrix, ants: int = 50, iteration
         models = models.withColumn("model_id", F.col("model_id") + i * (1 << 32)).withColumn("term_key", population.term_key()).withColumn("k", F.size("terms").cast("long"))
         models = population.remove_clones(population.remove_stillborn(models, language))
         aim = goal or goals.Goal(k_penalty=k_penalty)
-        first = population.listed(population.ranked(goals.fitted(models, matrix, aim, language)))  # at most one per ant
+        first = population.listed(population.ranked(goals.fitted(models, matrix, aim, language, data_type, epsilon)))  # at most one per ant
         columns = ["model_id", "terms"]
-        less = trimmed(first.filter(F.col("rank") < TRIMMED), matrix, aim.k_penalty, language) if aim.fold is None and not aim.regression else first.filter(F.col("rank") < TRIMMED).select(columns)
+        less = trimmed(first.filter(F.col("rank") < TRIMMED), matrix, aim.k_penalty, language, data_type, epsilon) if aim.fold is None and not aim.regression else first.filter(F.col("rank") < TRIMMED).select(columns)
         models = first.filter(F.col("rank") >= TRIMMED).select(columns).unionByName(less).withColumn("term_key", population.term_key()).withColumn("k", F.size("terms").cast("long"))
         models = population.remove_clones(population.remove_stillborn(models, language))
-        out = population.ranked(goals.fitted(population.listed(models), matrix, aim, language))
+        out = population.ranked(goals.fitted(population.listed(models), matrix, aim, language, data_type, epsilon))
         rows = out.collect()  # at most one per ant
         if not rows:
             continue

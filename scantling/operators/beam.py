@@ -68,20 +68,20 @@ def extended(best: DataFrame, selection: DataFrame) -> DataFrame:
     return more.select(F.array_sort(F.concat("terms", F.array(F.struct("f", "c")))).alias("terms")).distinct()
 
 
-def fitted_level(models: DataFrame, matrix: dense.Matrix, data_type: str = "raw", k_penalty: float = 0.0, goal: goals.Goal | None = None) -> DataFrame:
+def fitted_level(models: DataFrame, matrix: dense.Matrix, data_type: str = "raw", k_penalty: float = 0.0, goal: goals.Goal | None = None, epsilon: float = dense.EPSILON) -> DataFrame:
     """Models of a level with AUC and fit; ratio and linear models are scored apart."""
     models, c = models.persist(), goal or goals.Goal(k_penalty=k_penalty)
-    parts = [goals.fitted(models.filter(cond), matrix, c, kind, data_type) for kind, cond in (("ternary", "language <> 'ratio'"), ("ratio", "language = 'ratio'"))]
+    parts = [goals.fitted(models.filter(cond), matrix, c, kind, data_type, epsilon) for kind, cond in (("ternary", "language <> 'ratio'"), ("ratio", "language = 'ratio'"))]
     return parts[0].unionByName(parts[1])
 
 
-def search(matrix: dense.Matrix, selection: DataFrame, k_start: int = 1, k_stop: int = 4, method: str = "exhaustive", criterion: float = 10.0, most: int = 10_000, language: str = "ternary", data_type: str = "raw", k_penalty: float = 0.0, goal: goals.Goal | None = None):
+def search(matrix: dense.Matrix, selection: DataFrame, k_start: int = 1, k_stop: int = 4, method: str = "exhaustive", criterion: float = 10.0, most: int = 10_000, language: str = "ternary", data_type: str = "raw", k_penalty: float = 0.0, goal: goals.Goal | None = None, epsilon: float = dense.EPSILON):
     """Levels from ``k_start`` + 1 to ``k_stop``, each fitted and ranked, a list of ``most`` models or a few more; the first isn't returned.
 
     ``criterion`` up to 1 is the level of the family of best models, above 1 a percentage.
     """
     start = rewritten(combinations(limited(selection, k_start, most), k_start), k_start, language)
-    level = population.listed(population.ranked(fitted_level(named(start, k_start), matrix, data_type, k_penalty, goal)))
+    level = population.listed(population.ranked(fitted_level(named(start, k_start), matrix, data_type, k_penalty, goal, epsilon)))
     for k in range(k_start + 1, k_stop + 1):
         best = population.first_pct(level, criterion) if criterion > 1 else population.family(level, criterion)
         best = population.listed(best)
@@ -90,7 +90,7 @@ def search(matrix: dense.Matrix, selection: DataFrame, k_start: int = 1, k_stop:
         if pool.count() < k or best.isEmpty():
             return
         models = combinations(limited(pool, k, most), k) if method == "exhaustive" else extended(best, pool)
-        level = population.listed(population.ranked(fitted_level(named(rewritten(models, k, language), k), matrix, data_type, k_penalty, goal)))
+        level = population.listed(population.ranked(fitted_level(named(rewritten(models, k, language), k), matrix, data_type, k_penalty, goal, epsilon)))
         if level.isEmpty():
             return
         yield level

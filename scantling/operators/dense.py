@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import scoring
+
 MOST_CELLS = 20_000_000
 EPSILON = 1e-5
 #: Digits within which objectives of thresholds are compared.
@@ -139,6 +141,13 @@ def without_each(m: Matrix, f, c: np.ndarray, language: str, g: np.ndarray, data
         yield whole - g[:, at[k]] * c[k]
 
 
+def with_kind(models: DataFrame, language: str, data_type: str) -> DataFrame:
+    """``model_id, f, c, language, data_type``: the given kind, or, of several, each model's own."""
+    several = len(scoring.kinds(language, data_type)) > 1
+    kind = ["language", "data_type"] if several else [F.lit(language).alias("language"), F.lit(data_type).alias("data_type")]
+    return models.select("model_id", F.col("terms.f").alias("f"), F.col("terms.c").alias("c"), *kind)
+
+
 def leave_one_out(models: DataFrame, matrix: Matrix, language: str = "ternary", data_type: str = "raw", epsilon: float = EPSILON) -> DataFrame:
     """``model_id, feature_id, auc`` of every model without each of its terms."""
     shared = models.sparkSession.sparkContext.broadcast(matrix)

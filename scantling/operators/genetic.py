@@ -6,7 +6,7 @@ partitioned. One generation is one scoring job; the population stays bounded.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import draw, uniform
@@ -47,6 +47,17 @@ def cross_over(models: DataFrame, pairs: DataFrame, seed: int) -> DataFrame:
     return both.select("child", "f", c.alias("c")).filter("c is not null")
 
 
+def renewed(language: str, d: Column) -> Column:
+    """What a chosen coefficient ``c`` (null: absent) becomes by draw."""
+    if language == "binary":
+        return F.when(d % 2 == 0, 1)
+    if language == "pow2":
+        size = F.abs("c")
+        grown, halved = F.least(size * 2, F.lit(64)), F.greatest((size / 2).cast("int"), F.lit(1))
+        return F.when(F.col("c").isNull(), F.when(d % 4 == 0, F.when(d % 8 < 4, 4).otherwise(-4))).otherwise(F.when(d % 3 == 0, F.signum("c") * grown).when(d % 3 == 1, F.signum("c") * halved))
+    return F.when(d % 3 == 0, 1).when(d % 3 == 1, -1)
+
+
 def mutate(children: DataFrame, features: DataFrame, language: str, seed: int, child_pct: float = 80, feature_pct: float = 20, n_children: DataFrame | None = None) -> DataFrame:
     """``child, f, c``: in chosen children, chosen features lose their term and may get a new one.
 
@@ -56,16 +67,7 @@ def mutate(children: DataFrame, features: DataFrame, language: str, seed: int, c
     kids = (n_children if n_children is not None else children.select("child").distinct()).filter(uniform(seed, "mutant", "child") < child_pct / 100)
     touched = kids.crossJoin(F.broadcast(features.select(F.col("feature_id").alias("f")).distinct())).filter(uniform(seed, "touch", "child", "f") < feature_pct / 100).withColumn("hit", F.lit(True))
     rows = children.join(touched, ["child", "f"], "full_outer")
-    d = draw(seed, "new", "child", "f")
-    if language == "binary":
-        new = F.when(d % 2 == 0, 1)
-    elif language == "pow2":
-        size = F.abs("c")
-        grown, halved = F.least(size * 2, F.lit(64)), F.greatest((size / 2).cast("int"), F.lit(1))
-        new = F.when(F.col("c").isNull(), F.when(d % 4 == 0, F.when(d % 8 < 4, 4).otherwise(-4))).otherwise(F.when(d % 3 == 0, F.signum("c") * grown).when(d % 3 == 1, F.signum("c") * halved))
-    else:
-        new = F.when(d % 3 == 0, 1).when(d % 3 == 1, -1)
-    return rows.select("child", "f", F.when(F.col("hit"), new).otherwise(F.col("c")).cast("int").alias("c")).filter("c is not null")
+    return rows.select("child", "f", F.when(F.col("hit"), renewed(language, draw(seed, "new", "child", "f"))).otherwise(F.col("c")).cast("int").alias("c")).filter("c is not null")
 
 
 def gathered(terms: DataFrame, epoch: int) -> DataFrame:

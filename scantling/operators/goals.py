@@ -16,6 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import scoring
 from . import dense, population, resampling
 
 CLASSES = ("auc", "mcc", "f1_score", "npv", "ppv", "g_mean", "sensitivity", "specificity")
@@ -189,22 +190,22 @@ def judge(s: np.ndarray, m: dense.Matrix, c: Goal) -> dict:
 
 
 def judged(models: DataFrame, matrix: dense.Matrix, goal: Goal, language: str = "ternary", data_type: str = "raw", epsilon: float = dense.EPSILON) -> DataFrame:
-    """``JUDGED`` of every model (model_id, terms)."""
+    """``JUDGED`` of every model (model_id, terms; language and data_type, if several are given, separated by commas)."""
     plain = Goal(goal.fit, other_side=goal.other_side, bands=goal.bands, fold=goal.fold, overfit=goal.overfit)
     shared = models.sparkSession.sparkContext.broadcast((matrix, plain))
-    names = [x.split()[0] for x in JUDGED.split(", ")]
+    names, read = [x.split()[0] for x in JUDGED.split(", ")], scoring.kinds(language, data_type)
 
     def run(batches):
         m, c = shared.value
-        g = m.read(data_type, epsilon)
+        g = {own: m.read(own, epsilon) for _, own in read}
         for pdf in batches:
             out = []
-            for model_id, f, co in zip(pdf["model_id"], pdf["f"], pdf["c"]):
-                s = m.scores(np.searchsorted(m.features, f), np.asarray(co, float), language, g, data_type, epsilon)
+            for model_id, f, co, kind, own in zip(pdf["model_id"], pdf["f"], pdf["c"], pdf["language"], pdf["data_type"]):
+                s = m.scores(np.searchsorted(m.features, f), np.asarray(co, float), kind, g[own], own, epsilon)
                 out.append({"model_id": model_id} | judge(s, m, c))
             yield pd.DataFrame(out, columns=names)
 
-    return models.select("model_id", F.col("terms.f").alias("f"), F.col("terms.c").alias("c")).mapInPandas(run, JUDGED)
+    return dense.with_kind(models, language, data_type).mapInPandas(run, JUDGED)
 
 
 def fitted(models: DataFrame, matrix: dense.Matrix, goal: Goal, language: str = "ternary", data_type: str = "raw", epsilon: float = dense.EPSILON) -> DataFrame:

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import scoring
 from . import dense, resampling, roc
 
 
@@ -99,33 +100,35 @@ def permuted_columns(x: DataFrame, matrix: dense.Matrix, features: DataFrame, pe
 
 
 def of_models(models: DataFrame, matrix: dense.Matrix, x: DataFrame, permutations: int, seed: int, language: str = "ternary", data_type: str = "raw", epsilon: float = dense.EPSILON) -> DataFrame:
-    """``model_id, feature_id, importance`` of models of any language and data type.
+    """``model_id, feature_id, importance`` of models of any language and data type (of several, separated by commas, each model's own).
 
     A permuted column takes the place of the feature's own in the block; the rest of the model is as it was.
     """
     features = models.select(F.explode("terms.f").alias("feature_id"))
     shared = models.sparkSession.sparkContext.broadcast((matrix, permuted_columns(x, matrix, features, permutations, seed)))
 
+    read = scoring.kinds(language, data_type)
+
     def run(batches):
         m, columns = shared.value
         m = m.rows(m.y < 2)
-        g = m.read(data_type, epsilon)
+        g = {own: m.read(own, epsilon) for _, own in read}
         for pdf in batches:
             out = []
-            for model_id, f, c in zip(pdf["model_id"], pdf["f"], pdf["c"]):
+            for model_id, f, c, kind, values_of in zip(pdf["model_id"], pdf["f"], pdf["c"], pdf["language"], pdf["data_type"]):
                 at, c = np.searchsorted(m.features, f), np.asarray(c, float)
-                part, own = g[:, at].copy(), np.arange(len(at))
-                base = dense.auc(m.scores(own, c, language, part, data_type, epsilon), m.y)
+                part, own = g[values_of][:, at].copy(), np.arange(len(at))
+                base = dense.auc(m.scores(own, c, kind, part, values_of, epsilon), m.y)
                 for k, feature in enumerate(f):
                     kept, falls = part[:, k].copy(), []
-                    for values in m.as_read(columns.get(int(feature), np.zeros((permutations, len(m.y)))), at[k], data_type, epsilon):
+                    for values in m.as_read(columns.get(int(feature), np.zeros((permutations, len(m.y)))), at[k], values_of, epsilon):
                         part[:, k] = values
-                        falls.append(base - dense.auc(m.scores(own, c, language, part, data_type, epsilon), m.y))
+                        falls.append(base - dense.auc(m.scores(own, c, kind, part, values_of, epsilon), m.y))
                     part[:, k] = kept
                     out.append((model_id, int(feature), float(np.mean(falls))))
             yield pd.DataFrame(out, columns=["model_id", "feature_id", "importance"])
 
-    return models.select("model_id", F.col("terms.f").alias("f"), F.col("terms.c").alias("c")).mapInPandas(run, "model_id long, feature_id int, importance double")
+    return dense.with_kind(models, language, data_type).mapInPandas(run, "model_id long, feature_id int, importance double")
 
 
 def quantile_threshold(importance: DataFrame, quantile: float, margin: float = 0.0) -> DataFrame:

@@ -60,9 +60,9 @@ def family(models: DataFrame, alpha: float, method: str = "wald") -> DataFrame:
     return r.withColumn("low", F.min("fit").over(w)).filter(F.col("low") > lower).drop("low")
 
 
-def remove_clones(models: DataFrame) -> DataFrame:
-    """The first model of each term key."""
-    w = Window.partitionBy("term_key").orderBy("model_id")
+def remove_clones(models: DataFrame, also: tuple[str, ...] = ()) -> DataFrame:
+    """The first model of each term key (and of these columns)."""
+    w = Window.partitionBy("term_key", *also).orderBy("model_id")
     return models.withColumn("n", F.row_number().over(w)).filter("n = 1").drop("n")
 
 

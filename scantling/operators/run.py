@@ -18,12 +18,12 @@ from pyspark.sql import functions as F
 
 from ..functions import scoring as fs
 from ..sources import store
-from . import ants, beam, chains, dataset, dense, fitness, genetic, goals, importance, linear, population, resampling, roc, scores, screening, voting
+from . import ants, beam, chains, dataset, dense, fitness, genetic, goals, importance, linear, mixed, population, resampling, roc, scores, screening, voting
 
 #: Columns of a run's models, and their types.
 TYPES = {
     "model_id": "long", "term_key": "string", "terms": "array<struct<f:int,c:int>>", "k": "long", "auc": "double", "fit": "double", "threshold": "double", "accuracy": "double", "sensitivity": "double",
-    "specificity": "double", "lower": "double", "upper": "double", "rejection_rate": "double",
+    "specificity": "double", "lower": "double", "upper": "double", "rejection_rate": "double", "language": "string", "data_type": "string",
 }
 COLUMNS = tuple(TYPES)
 
@@ -88,14 +88,18 @@ def found(x: DataFrame, samples: DataFrame, chosen: DataFrame, p: store.Params)
     aim = goal(matrix, samples, p)
     options = asdict(own)
     if g.algo == "beam":
-        levels = list(beam.search(matrix, chosen, **options, language=g.language, data_type=g.data_type, goal=aim))
+        levels = list(beam.search(matrix, chosen, **options, language=g.language, data_type=g.data_type, goal=aim, epsilon=g.epsilon))
         if not levels:
             return found(x, samples, chosen.limit(0), p)
         models = reduce(DataFrame.unionByName, levels)
     elif g.algo == "ga":
-        models = genetic.search(chosen, matrix, g.language, **options, seed=g.seed, goal=aim)
+        if len(fs.kinds(g.language, g.data_type)) > 1 or g.data_type != "raw":
+            models = mixed.search(chosen, matrix, g.language, g.data_type, **options, epsilon=g.epsilon, seed=g.seed, goal=aim)
+        else:
+            del options["niche_pct"]
+            models = genetic.search(chosen, matrix, g.language, **options, seed=g.seed, goal=aim)
     elif g.algo == "aco":
-        models = ants.search(chosen, matrix, **options, language=g.language, seed=g.seed, goal=aim)
+        models = ants.search(chosen, matrix, **options, language=g.language, seed=g.seed, goal=aim, data_type=g.data_type, epsilon=g.epsilon)
     elif g.algo in ("sa", "ils"):
         known = matrix.rows(matrix.y < 2)
         models = chains.search(spark, known, g.algo, **options, k_penalty=g.k_penalty, seed=g.seed).withColumnRenamed("chain_id", "model_id")
@@ -105,10 +109,13 @@ def found(x: DataFrame, samples: DataFrame, chosen: DataFrame, p: store.Params)
         trace = chains.trace(spark, matrix.rows(matrix.y < 2), **options, seed=g.seed)
         models = chains.consensus_model(chains.summary(trace)).withColumn("k", F.size("terms").cast("long"))
     models = models.withColumn("term_key", population.term_key())
+    for name in mixed.NICHE:
+        if name not in models.columns:
+            models = models.withColumn(name, F.lit(getattr(g, name)))
     if "lower" not in models.columns:
-        models = population.listed(models.select("model_id", "term_key", "terms", "k"))
-        models = goals.fitted(models, matrix, aim, g.language, g.data_type)
-    return population.listed(population.ranked(population.remove_clones(models.select(*COLUMNS))))
+        models = population.listed(models.select("model_id", "term_key", "terms", "k", *mixed.NICHE))
+        models = goals.fitted(models, matrix, aim, g.language, g.data_type, g.epsilon)
+    return population.listed(population.ranked(population.remove_clones(models.select(*COLUMNS), mixed.NICHE)))
 
 
 def evaluated(models: DataFrame, x: DataFrame, samples: DataFrame, p: store.Params, stats: DataFrame | None = None) -> DataFrame:
@@ -149,9 +156,9 @@ def pruned(models: DataFrame, x: DataFrame, samples: DataFrame, p: store.Params)
     g, v = p.general, p.vote
     matrix = dense.Matrix(x.join(F.broadcast(models.select(F.explode("terms.f").alias("feature_id")).distinct()), "feature_id"), samples, known=not g.bootstrap)
     fall = importance.of_models(models, matrix, x, v.prune_permutations, g.seed, g.language, g.data_type, g.epsilon)
-    kept = importance.pruned(models.select("model_id", "terms"), fall, v.prune_below, v.prune_min_k).withColumn("term_key", population.term_key()).withColumn("k", F.size("terms").cast("long")).persist()
+    kept = importance.pruned(models.select("model_id", "terms"), fall, v.prune_below, v.prune_min_k).join(F.broadcast(models.select("model_id", *mixed.NICHE)), "model_id").withColumn("term_key", population.term_key()).withColumn("k", F.size("terms").cast("long")).persist()
     out = goals.fitted(kept, matrix, goal(matrix, samples, p), g.language, g.data_type, g.epsilon)
-    return population.ranked(population.remove_clones(out.select(*COLUMNS)))
+    return population.ranked(population.remove_clones(out.select(*COLUMNS), mixed.NICHE))
 
 
 def ballots(jury: DataFrame, x: DataFrame, samples: DataFrame, p: store.Params, stats: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
@@ -192,7 +199,7 @@ def run_on_data(x: DataFrame, samples: DataFrame, p: store.Params, test: tuple[D
     else:
         train = samples
     own = x.join(train.select("sample_id"), "sample_id", "left_semi").select(*x.columns)
-    stats = dataset.zscore_stats(own, train) if p.general.data_type == "zscore" else None
+    stats = dataset.zscore_stats(own, train) if "zscore" in p.general.data_type else None
     chosen = population.listed(selection(own, train, p))
     models = found(own, train, chosen, p)
     family = population.listed(population.family(models, p.vote.alpha))
@@ -228,7 +235,7 @@ def run_cv(x: DataFrame, samples: DataFrame, p: store.Params, assignment: DataFr
     def one(k: int) -> tuple[list, list, set]:
         train, valid = (part(samples, folds.filter(cond)) for cond in (F.col("fold") != k, F.col("fold") == k))
         own = x.join(F.broadcast(train.select("sample_id")), "sample_id", "left_semi").select(*x.columns)
-        stats = dataset.zscore_stats(own, train) if g.data_type == "zscore" else None
+        stats = dataset.zscore_stats(own, train) if "zscore" in g.data_type else None
         chosen = population.listed(selection(own, train, p))
         models = found(own, train, chosen, p)
         if f.fit_on_valid:
@@ -262,4 +269,4 @@ def refitted(models: DataFrame, x: DataFrame, samples: DataFrame, p: store.Param
     g = p.general
     matrix = dense.Matrix(x.join(F.broadcast(models.select(F.explode("terms.f").alias("feature_id")).distinct()), "feature_id"), samples, known=g.fit in store.CLASSES and not g.bootstrap)
     aim = goal(matrix, samples, replace(p, folds=replace(p.folds, inner=0)))
-    return population.listed(population.ranked(goals.fitted(models.select("model_id", "term_key", "terms", "k"), matrix, aim, g.language, g.data_type, g.epsilon).select(*COLUMNS)))
+    return population.listed(population.ranked(goals.fitted(models.select("model_id", "term_key", "terms", "k", *mixed.NICHE), matrix, aim, g.language, g.data_type, g.epsilon).select(*COLUMNS)))

@@ -23,12 +23,15 @@ def by_sample(x: DataFrame, samples: DataFrame) -> DataFrame:
 
 
 def evaluate(models: DataFrame, x: DataFrame, samples: DataFrame, language: str = "ternary", data_type: str = "raw", epsilon: float = scoring.EPSILON, stats: DataFrame | None = None, betas: tuple | None = None) -> DataFrame:
-    """``model_id, sample_id, y, score`` for every model and sample, scored or not (a sample without any term scores as zeros do)."""
+    """``model_id, sample_id, y, score`` for every model and sample, scored or not (a sample without any term scores as zeros do).
+
+    Several languages or data types, separated by commas: each model is read as its own columns say.
+    """
     rows = by_sample(x, samples)
     if stats is not None:
         packed = stats.agg(F.map_from_entries(F.collect_list(F.struct("feature_id", F.struct("mean", "std")))).alias("stats"))
         rows = rows.crossJoin(F.broadcast(packed))
-    pairs = rows.crossJoin(F.broadcast(models.select("model_id", "terms")))
+    pairs = rows.crossJoin(F.broadcast(models.select("model_id", "terms", *(["language", "data_type"] if len(scoring.kinds(language, data_type)) > 1 else []))))
     return pairs.select("model_id", "sample_id", "y", scoring.score(language, data_type, epsilon, stats="stats" if stats is not None else None, betas=betas).alias("score"))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import aims, base, ranking, reports, resampling, runs, scoring, search  # noqa: F401  the modules register their queries
+from . import aims, base, mixed, ranking, reports, resampling, runs, scoring, search  # noqa: F401  the modules register their queries
 
 FLAGSHIP = "auc_ties"
 

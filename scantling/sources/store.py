@@ -13,6 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 CLASSES = ("auc", "mcc", "f1_score", "npv", "ppv", "g_mean", "sensitivity", "specificity")
 REGRESSIONS = ("spearman", "pearson", "neg_rmse", "mutual_info")
 SEARCHES = ("beam", "ga", "aco")
+#: Languages and data types of models; several, separated by commas, in a genetic run.
+LANGUAGES = ("binary", "ternary", "ratio", "pow2")
+DATA_TYPES = ("raw", "prevalence", "log", "zscore")
 
 
 @dataclass
@@ -61,6 +64,7 @@ class Genetic:
     random_pct: float = 2.0
     max_age: int = 10
     diversity_pct: float = 0.0
+    niche_pct: float = 0.0
 
 
 @dataclass
@@ -177,6 +181,7 @@ class Params:
 
     def checked(self) -> Params:
         g, d, v = self.general, self.data, self.vote
+        languages, data_types = ([s.strip() for s in text.split(",")] for text in (g.language, g.data_type))
         for ok, what in (
             (g.algo in ("ga", "beam", "aco", "sa", "ils", "lasso", "mcmc"), "algo"),
             (0 < g.ci_alpha < 1, "ci_alpha"),
@@ -184,7 +189,7 @@ class Params:
             (0 < g.bootstrap_fraction <= 1, "bootstrap_fraction"),
             (g.fit in CLASSES + REGRESSIONS, "fit"),
             (g.fit == "auc" or g.algo in SEARCHES, "fit: chains and paths know auc only"),
-            (g.fit not in REGRESSIONS or g.language != "binary", "fit: a continuous target has no class that binary models could be of"),
+            (g.fit not in REGRESSIONS or "binary" not in languages, "fit: a continuous target has no class that binary models could be of"),
             (self.folds.inner == 0 or (self.folds.inner >= 2 and g.algo in SEARCHES), "folds: inner; chains and paths have none"),
             (min(g.k_penalty, g.bias_penalty, g.ci_penalty, g.other_side_penalty, self.folds.overfit_penalty) >= 0, "penalties"),
             (self.importance.aggregation in ("mean", "median"), "importance: aggregation"),
@@ -192,8 +197,12 @@ class Params:
             (0 <= d.holdout < 1, "holdout"),
             (d.test in ("wilcoxon", "studentt", "bayesian_fisher"), "test"),
             (0 <= d.min_prevalence <= 1, "min_prevalence"),
-            (g.algo == "beam" or g.data_type == "raw", "data_type: only beam reads other values than raw ones"),
-            (g.algo in ("beam", "ga", "aco") or g.language == "ternary", "language: chains and paths are ternary"),
+            (set(languages) <= set(LANGUAGES) and len(set(languages)) == len(languages), "language"),
+            (set(data_types) <= set(DATA_TYPES) and len(set(data_types)) == len(data_types), "data_type"),
+            (g.algo == "ga" or len(languages) == len(data_types) == 1, "language, data_type: only genetic runs take several"),
+            (g.algo in SEARCHES or g.data_type == "raw", "data_type: chains and paths read raw values"),
+            (g.algo in SEARCHES or g.language == "ternary", "language: chains and paths are ternary"),
+            (0 <= self.ga.niche_pct <= 100, "ga: niche_pct"),
             (1 <= self.beam.k_start <= self.beam.k_stop, "beam: k_start, k_stop"),
             (all(s.k_min <= s.k_max for s in (self.ga, self.aco)), "k_min, k_max"),
             (self.mcmc.burn < self.mcmc.steps, "mcmc: burn, steps"),
