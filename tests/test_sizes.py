@@ -4,6 +4,7 @@ import os
 
 import pytest
 
+from scantling.operators import ants, chains, dense, goals, importance, resampling
 from scantling.sources import fixtures as fx
 
 SF = "/root/testdata/sf0.001"
@@ -18,3 +19,39 @@ def test_abundance_is_dealt_by_its_rows_and_broadcasts_nothing(spark, monkeypatc
     assert x.rdd.getNumPartitions() == spark.read.parquet(f"{SF}/lineitem.parquet").count() // 300
     assert "Broadcast" not in x._jdf.queryExecution().executedPlan().toString()
     assert {tuple(r) for r in x.collect()} == want
+
+
+def toy(spark, n=60, f=5):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    x = [(i, k, float(v)) for i in range(n) for k, v in enumerate(rng.integers(0, 6, f)) if v]
+    return spark.createDataFrame(x, "sample_id long, feature_id int, value double"), spark.createDataFrame([(i, float(rng.integers(0, 3) if i > 3 else i % 2)) for i in range(n)], "sample_id long, y double")
+
+
+def test_blocks_give_what_a_shared_matrix_gives(spark, monkeypatch):
+    x, samples = toy(spark)
+    models = spark.createDataFrame([(1, [(0, 1), (1, -1)], 2), (2, [(2, 1), (3, -1), (4, 1)], 3)], "model_id long, terms array<struct<f:int,c:int>>, k long")
+    goal = lambda m: goals.Goal("mcc", bands=goals.bands(m, samples, 100, 0.1, 5, 0.8), fold=resampling.folds(samples, 3, 5), overfit=0.5)
+
+    def found():
+        m, known = dense.Matrix(x, samples, known=False), dense.Matrix(x, samples)
+        out = [goals.judged(models, m, goal(m)), dense.fit(models, known), dense.leave_one_out(models, known), ants.trimmed(models, known, 0.01), importance.of_models(models, known, x, 3, 7, "ratio"), chains.search(spark, known, "ils", chains=2, steps=30, k=2, k_max=4)]
+        return m, [sorted(([round(v, 9) if isinstance(v, float) else v for v in r] for r in df.collect()), key=lambda r: r[:2]) for df in out]
+
+    one, want = found()
+    monkeypatch.setattr(dense, "ONE", 0)
+    monkeypatch.setattr(dense, "ROWS", 7)
+    several, got = found()
+    assert one.one and not several.one and several.blocks.count() > 4
+    assert got == want
+
+
+def test_more_cells_than_a_task_may_share_are_searched(spark, monkeypatch):
+    x, samples = toy(spark)
+    monkeypatch.setattr(dense, "MOST_CELLS", 10)
+    monkeypatch.setattr(dense, "ONE", 0)
+    m = dense.Matrix(x, samples)
+    assert dense.fit(spark.createDataFrame([(1, [(0, 1)])], "model_id long, terms array<struct<f:int,c:int>>"), m).count() == 1
+    with pytest.raises(ValueError):
+        m.whole
