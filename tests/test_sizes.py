@@ -55,3 +55,36 @@ def test_more_cells_than_a_task_may_share_are_searched(spark, monkeypatch):
     assert dense.fit(spark.createDataFrame([(1, [(0, 1)])], "model_id long, terms array<struct<f:int,c:int>>"), m).count() == 1
     with pytest.raises(ValueError):
         m.whole
+
+
+@needs_data
+def test_abundance_is_stored_once_for_all_that_read_it(spark):
+    fx.abundance(spark, SF).count()
+    again = fx.abundance(spark, SF)
+    assert again.storageLevel.useMemory
+    assert "InMemoryTableScan" in again.groupBy("feature_id").count()._jdf.queryExecution().executedPlan().toString()
+
+
+def test_ranges_never_fall_along_scores_and_whole_scores_are_counted():
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    s = np.sort(np.r_[rng.normal(size=300) * 10.0 ** rng.integers(-8, 8, 300), 0.0, -1.0, 1.0, 2.0, 4.0, np.inf, -np.inf])
+    for per in (1, 8):
+        assert (np.diff(dense.ranges_of(s, per)) >= 0).all()
+    y = rng.integers(0, 2, 200).astype(float)
+    whole = rng.integers(-30, 30, 200).astype(float)
+    at, p, n = dense.groups(whole, y)
+    assert at.tolist() == sorted(set(whole)) and p.tolist() == [((whole == v) & (y == 1)).sum() for v in at] and n.tolist() == [((whole == v) & (y == 0)).sum() for v in at]
+    assert [v.tolist() for v in dense.groups(whole + 0.5, y)] == [(at + 0.5).tolist(), p.tolist(), n.tolist()]
+
+
+def test_tie_groups_of_blocks_travel_packed(spark, monkeypatch):
+    x, samples = toy(spark)
+    monkeypatch.setattr(dense, "ONE", 0)
+    monkeypatch.setattr(dense, "ROWS", 7)
+    models = spark.createDataFrame([(1, [(0, 1), (1, -1)])], "model_id long, terms array<struct<f:int,c:int>>")
+    m = dense.Matrix(x, samples)
+    rows = dense.tied(models, m, lambda model, b, g, row: [((model[0],), dense.scored(b, g, model, 1e-5), b.y)], "model_id long", "ternary", "raw", 1e-5).collect()
+    assert sum(r["p"] + r["n"] for r in rows) == m.size
+    assert len({(r["range"], r["first"]) for r in rows}) < m.size and all(len(r["scores"]) == 2 * len(r["ps"]) for r in rows)
