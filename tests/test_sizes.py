@@ -88,3 +88,15 @@ def test_tie_groups_of_blocks_travel_packed(spark, monkeypatch):
     rows = dense.tied(models, m, lambda model, b, g, row: [((model[0],), dense.scored(b, g, model, 1e-5), b.y)], "model_id long", "ternary", "raw", 1e-5).collect()
     assert sum(r["p"] + r["n"] for r in rows) == m.size
     assert len({(r["range"], r["first"]) for r in rows}) < m.size and all(len(r["scores"]) == 2 * len(r["ps"]) for r in rows)
+
+
+def test_draws_and_permuted_values_are_dealt_by_their_number_and_never_broadcast(spark, monkeypatch):
+    x, samples = toy(spark)
+    monkeypatch.setattr(fx, "PER_TASK", 10)
+    boot = resampling.bootstrap(samples, 10, 3)
+    assert boot.rdd.getNumPartitions() > 8
+    moved = resampling.shuffled_feature(x, samples.filter("y < 2"), x.select("feature_id").distinct(), 3, 3)
+    for df, join in ((boot, "weight"), (moved, "value")):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert join in plan and "SortMergeJoin" in plan
+    assert boot.groupBy("replicate").sum("weight").select("sum(weight)").distinct().count() == 1
