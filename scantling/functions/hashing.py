@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -24,3 +27,13 @@ def draw_sql(seed: int, purpose: str, *ids: str) -> str:
 
 def uniform_sql(seed: int, purpose: str, *ids: str) -> str:
     return f"({draw_sql(seed, purpose, *ids)} / 4294967296.0::DOUBLE)"
+
+
+def draws(seed: int, purpose: str, first: int, ids: list[bytes]) -> np.ndarray:
+    """As ``draw`` of (first, id) for every id, given as text."""
+    start, out = hashlib.md5(f"{seed}|{purpose}|{first}|".encode(), usedforsecurity=False), []
+    for i in ids:
+        h = start.copy()
+        h.update(i)
+        out.append(h.digest()[:4])
+    return np.frombuffer(b"".join(out), ">u4").astype(np.int64)

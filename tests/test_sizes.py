@@ -100,3 +100,32 @@ def test_draws_and_permuted_values_are_dealt_by_their_number_and_never_broadcast
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert join in plan and "SortMergeJoin" in plan
     assert boot.groupBy("replicate").sum("weight").select("sum(weight)").distinct().count() == 1
+
+
+def test_ends_of_parts_tell_the_samples_that_are_in_without_a_row_for_each(spark, monkeypatch):
+    x, samples = toy(spark)
+    monkeypatch.setattr(dense, "ONE", 0)
+    monkeypatch.setattr(dense, "ROWS", 7)
+    m = dense.Matrix(x, samples, known=False)
+    want = {}
+    for r in resampling.bootstrap(samples, 20, 5, 0.6).collect():
+        want.setdefault(r["replicate"], set()).add(r["sample_id"])
+    b = goals.bands(m, samples, 20, 0.1, 5, 0.6)
+    assert b.table is None and b.weights is None
+    y = {r["sample_id"]: int(r["y"]) for r in samples.filter("y < 2").collect()}
+    ids = sorted(y)
+    monkeypatch.setattr(goals, "MANY", 0)
+    for u, at in (b.last, goals.last_in_parts(m, 20, 5, 0.6), goals.last_in_parts(m, 20, 5, 0.6, 0.0)):  # all draws, those near, none near
+        for r in range(20):
+            drawn = dict(zip(ids, goals.hashing.draws(5, "part", r, [str(i).encode() for i in ids])))
+            assert {i for i in ids if (drawn[i], i) <= (u[r, y[i]], at[r, y[i]])} == want[r]
+
+
+def test_replicates_with_replacement_weigh_blocks_as_a_shared_matrix(spark, monkeypatch):
+    x, samples = toy(spark)
+    models = spark.createDataFrame([(1, [(0, 1), (1, -1)]), (2, [(2, 1)])], "model_id long, terms array<struct<f:int,c:int>>")
+    found = lambda m: sorted([round(v, 9) for v in r] for r in goals.judged(models, m, goals.Goal(bands=goals.bands(m, samples, 100, 0.1, 5))).collect())
+    want = found(dense.Matrix(x, samples))
+    monkeypatch.setattr(dense, "ONE", 0)
+    monkeypatch.setattr(dense, "ROWS", 7)
+    assert found(dense.Matrix(x, samples)) == want
