@@ -135,8 +135,12 @@ def of_models(models: DataFrame, matrix: dense.Matrix, x: DataFrame, permutation
     return dense.with_kind(models, language, data_type).mapInPandas(run, "model_id long, feature_id int, importance double")
 
 
-def permuted_blocks(x: DataFrame, matrix: dense.Matrix, features: DataFrame, permutations: int, seed: int) -> DataFrame:
-    """A row for each block: ``moved``, features with values there, and beside each (as bytes) its samples, permutations and values."""
+def permuted_blocks(x: DataFrame, matrix: dense.Matrix, features: DataFrame, permutations: int, seed: int) -> tuple[DataFrame, int]:
+    """A matrix's blocks once for each ``part`` with ``moved``, features with values there, and beside each (as bytes) its samples, permutations and values; and the number of parts.
+
+    The matrix's feature at place k is of part k modulo that number: so many that the permuted values of a
+    part are no more than a block's cells, and that each task can have one.
+    """
 
     def ids(batches):
         for pdf in batches:
@@ -144,18 +148,25 @@ def permuted_blocks(x: DataFrame, matrix: dense.Matrix, features: DataFrame, per
                 yield pd.DataFrame({"sample_id": np.frombuffer(row.samples, np.int64)[np.frombuffer(row.y) < 2]})
 
     def pack(key, v: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"block": [int(key[0])], "moved": [int(key[1])], "ids": [v["sample_id"].to_numpy(np.int64).tobytes()], "places": [v["permutation"].to_numpy(np.int32).tobytes()], "new": [v["value"].to_numpy(float).tobytes()]})
+        return pd.DataFrame({"block": [int(key[0])], "part": [int(key[1])], "moved": [int(key[2])], "ids": [v["sample_id"].to_numpy(np.int64).tobytes()], "places": [v["permutation"].to_numpy(np.int32).tobytes()], "new": [v["value"].to_numpy(float).tobytes()]})
 
+    spark, all_ = features.sparkSession, len(matrix.features)
+    parts = max(1, min(all_, max(-(-all_ * permutations * min(matrix.size, dense.ROWS) // dense.CELLS), -(-spark.sparkContext.defaultParallelism // matrix.count))))
+    tasks = matrix.count * parts
     known = matrix.blocks.select("samples", "y").mapInPandas(ids, "sample_id long")
     rows = resampling.shuffled_feature(x, known, features, permutations, seed)
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("sample_id"), F.lit(matrix.count)))
-    own = rows.groupBy("block", "feature_id").applyInPandas(pack, "block long, moved int, ids binary, places binary, new binary")
-    own = own.groupBy("block").agg(*[F.collect_list(c).alias(c) for c in ("moved", "ids", "places", "new")])
-    return matrix.blocks.select("block").join(own, "block", "left").select("block", *[F.coalesce(c, F.array().cast(own.schema[c].dataType)).alias(c) for c in own.columns[1:]])
+    of = spark.createDataFrame([(int(f), k % parts) for k, f in enumerate(matrix.features)], "feature_id int, part int")
+    rows = rows.join(F.broadcast(of), "feature_id").withColumn("block", F.pmod(F.xxhash64("sample_id"), F.lit(matrix.count)))
+    rows = rows.repartition(dense.SPREAD * tasks, "block", "part")  # what a task sorts is a few parts of a block
+    own = rows.groupBy("block", "part", "feature_id").applyInPandas(pack, "block long, part int, moved int, ids binary, places binary, new binary")
+    own = own.groupBy("block", "part").agg(*[F.collect_list(c).alias(c) for c in ("moved", "ids", "places", "new")])
+    every = matrix.blocks.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    every = every.repartition(dense.SPREAD * tasks, "block", "part").join(own.hint("merge"), ["block", "part"], "left")
+    return every.select(*matrix.blocks.columns, "part", *[F.coalesce(c, F.array().cast(own.schema[c].dataType)).alias(c) for c in own.columns[2:]]), parts
 
 
 def of_models_in_blocks(models: DataFrame, matrix: dense.Matrix, x: DataFrame, permutations: int, seed: int, language: str, data_type: str, epsilon: float) -> DataFrame:
-    """As ``of_models``: each block's permuted columns come to it at once, and AUCs from the tie groups of all blocks."""
+    """As ``of_models``: permuted columns come to each block by parts of the features, and AUCs from the tie groups of all blocks."""
     features = models.select(F.explode("terms.f").alias("feature_id"))
 
     def emit(model, b, g, row):
@@ -163,9 +174,13 @@ def of_models_in_blocks(models: DataFrame, matrix: dense.Matrix, x: DataFrame, p
         known = b.y < 2
         samples, y = b.samples[known], b.y[known]
         at, c = np.searchsorted(b.features, f), np.asarray(c, float)
+        if not (at % parts == row.part).any():
+            return
         whole, own = np.asfortranarray(g[values_of][:, at][known]), np.arange(len(at))
         held = {int(v): n for n, v in enumerate(row.moved)}
         for k, feature in enumerate(f):
+            if at[k] % parts != row.part:
+                continue
             new, part = np.zeros((permutations, len(samples))), whole.copy(order="F")
             n = held.get(int(feature))  # a feature without values in a block is permuted too
             if n is not None:
@@ -175,7 +190,7 @@ def of_models_in_blocks(models: DataFrame, matrix: dense.Matrix, x: DataFrame, p
                 yield (model_id, int(feature), p), b.scores(own, c, kind, part, values_of, epsilon), y
 
     x = x.persist()  # read by permutations and, before, by the matrix
-    beside = permuted_blocks(x, matrix, features, permutations, seed)
+    beside, parts = permuted_blocks(x, matrix, features, permutations, seed)
     g = dense.tied(models, matrix, emit, "model_id long, feature_id int, permutation int", language, data_type, epsilon, beside)
     after = dense.auc_of(g, ("model_id", "feature_id", "permutation")).groupBy("model_id", "feature_id").agg(F.avg("auc").alias("permuted"))
     whole = dense.tied(models, matrix, lambda model, b, g, row: [((model[0],), dense.scored(b, g, model, epsilon), b.y)], "model_id long", language, data_type, epsilon)
@@ -191,6 +206,7 @@ def quantile_threshold(importance: DataFrame, quantile: float, margin: float = 0
 
 def pruned_by_quantile(models: DataFrame, importance: DataFrame, quantile: float, margin: float = 0.0, min_k: int = 1) -> DataFrame:
     """As ``pruned``, with a threshold of each model's own."""
+    importance = population.listed(importance)  # a row for each term of a model, read twice
     own = importance.join(quantile_threshold(importance, quantile, margin), "model_id")
     return pruned(models, own.withColumn("importance", F.col("importance") - F.col("threshold")).drop("threshold"), 0.0, min_k)
 

@@ -129,3 +129,13 @@ def test_replicates_with_replacement_weigh_blocks_as_a_shared_matrix(spark, monk
     monkeypatch.setattr(dense, "ONE", 0)
     monkeypatch.setattr(dense, "ROWS", 7)
     assert found(dense.Matrix(x, samples)) == want
+
+
+def test_permuted_columns_come_to_a_block_by_parts_of_the_features(spark, monkeypatch):
+    x, samples = toy(spark)
+    monkeypatch.setattr(dense, "ONE", 0)
+    monkeypatch.setattr(dense, "CELLS", 100)
+    m = dense.Matrix(x, samples)
+    rows, parts = importance.permuted_blocks(x, m, x.select("feature_id").distinct(), 4, 3)
+    rows = rows.collect()
+    assert parts == 5 and len(rows) == parts * m.count and all(len(r["moved"]) <= 1 for r in rows)
