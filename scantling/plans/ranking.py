@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.distributions import upper_normal_sql, z_value
-from ..operators import fitness, population, roc, scores, screening
+from ..operators import dense, fitness, population, roc, scores, screening
 from ..sources import fixtures as fx
 from . import base
 from .base import query
@@ -22,9 +22,10 @@ def pop_sql(n=N, per_term=0.001):
 
 def fitted(spark, sf, n=N, per_term=0.001):
     """Sign models with raw scores: size, key, AUC, threshold metrics, and AUC less size as fit."""
-    m = fx.models(fx.abundance(spark, sf), n).withColumn("k", F.size("terms").cast("long")).withColumn("term_key", population.term_key())
-    s = scored(spark, sf, n=n)
-    own = m.join(r(roc.auc(s), "auc"), "model_id").join(r(roc.best_threshold(s), "accuracy", "sensitivity", "specificity").select("model_id", "threshold", "accuracy", "sensitivity", "specificity"), "model_id")
+    x = fx.abundance(spark, sf)
+    m = population.listed(fx.models(x, n)).withColumn("k", F.size("terms").cast("long")).withColumn("term_key", population.term_key())
+    fits = r(dense.fit(m, dense.Matrix(x, fx.abundance_samples(spark, sf))), "auc", "accuracy", "sensitivity", "specificity")
+    own = m.join(fits.select("model_id", "auc", "threshold", "accuracy", "sensitivity", "specificity"), "model_id")
     return own.withColumn("fit", F.round(F.col("auc") - F.col("k") * F.lit(per_term), 9))
 
 

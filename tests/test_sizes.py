@@ -139,3 +139,26 @@ def test_permuted_columns_come_to_a_block_by_parts_of_the_features(spark, monkey
     rows, parts = importance.permuted_blocks(x, m, x.select("feature_id").distinct(), 4, 3)
     rows = rows.collect()
     assert parts == 5 and len(rows) == parts * m.count and all(len(r["moved"]) <= 1 for r in rows)
+
+
+def test_samples_of_folds_are_never_broadcast(spark):
+    from scantling.operators import run
+
+    _, samples = toy(spark)
+    plan = run.part(samples, resampling.folds(samples, 3, 5).filter("fold <> 1"))._jdf.queryExecution().executedPlan().toString().splitlines()
+    joins = [line for line in plan if "Join" in line]
+    assert "SortMergeJoin" in joins[0]
+
+
+@needs_data
+def test_fitted_populations_and_importances_make_no_row_for_each_model_and_sample(spark, monkeypatch):
+    from scantling.operators import scores
+    from scantling.plans import ranking
+    from scantling.plans import resampling as plans
+
+    def refused(*args, **kwargs):
+        raise AssertionError("a row for each model and sample")
+
+    monkeypatch.setattr(scores, "evaluate", refused)
+    assert ranking.fitted(spark, SF, 5).count() == 5
+    assert plans.mda(spark, SF).count() > 4
