@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scoring as fs
 from ..functions.hashing import draw_sql
-from ..operators import importance, population, resampling, roc, voting
+from ..operators import dense, importance, population, resampling, roc, voting
 from ..sources import fixtures as fx
 from . import base, ranking
 from .base import query
@@ -93,7 +93,7 @@ ps AS (SELECT t.model_id, t.f AS feature_id, pp.perm, sc.y, sc.score + t.c * (co
 
 def mda(spark, sf):
     x, s = fx.abundance(spark, sf), fx.abundance_samples(spark, sf)
-    return importance.mda(fx.models(x, 4), scored(spark, sf, n=4), x, s, PERMS, SEED)
+    return importance.of_models(fx.models(x, 4), dense.Matrix(x, s), x, PERMS, SEED)
 
 
 query("mda_importance", f"{MDA} SELECT model_id, feature_id, round(importance, 9) AS importance FROM im")(lambda spark, sf: r(mda(spark, sf), "importance"))
