@@ -43,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Grid, components, cut, documents, in_small_batches, mix, over_batches, stored, unused, window_hashes
+from .common import Grid, components, cut, documents, in_small_batches, mix, over_batches, shuffles_dropped, stored, unused, window_hashes
 from .near_dedup import common_counts, hash_family
 
 LENGTH, SPREAD, SHINGLE, THRESHOLD, ROWS = 20, 30, 5, 0.8, 2
@@ -274,6 +274,7 @@ def with_wanted(docs: DataFrame, want: DataFrame, size: str) -> DataFrame:
     return docs.join(F.broadcast(want) if small else want, "doc_id")
 
 
+@shuffles_dropped
 @in_small_batches
 def repeated_passages(docs: DataFrame, threshold: float = THRESHOLD, bands: int | None = None, length: int = LENGTH, spread: int = SPREAD) -> DataFrame:
     """Runs of paragraphs of ``docs`` (doc_id, text) that other documents have too."""

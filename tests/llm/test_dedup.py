@@ -1,4 +1,5 @@
 import random
+import time
 from collections import defaultdict
 
 import numpy as np
@@ -224,3 +225,20 @@ def test_runs_grow_to_the_whole_passage(spark):
         marked[r.doc_id] |= set(range(r.start_word, r.end_word))
     removed = {r.doc_id for r in found if r.removed}
     assert len(removed) >= 17 and all(size[i] <= len(marked[i]) <= size[i] + 8 for i in removed)
+
+
+def test_shuffle_files_of_stored_steps_are_dropped(spark):
+    def shuffle_files():
+        blocks = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().getAllBlocks()
+        return {b for b in blocks.mkString(" ").split() if b.startswith("shuffle_")}
+
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    rng, before, setting = random.Random(8), shuffle_files(), spark.conf.get(name)
+    passage = " ".join(prose(rng, 80))
+    found = substring_dedup.repeated_passages(documents(spark, [(i, " ".join(prose(rng, 60)) + " " + passage) for i in range(6)]))
+    until = time.time() + 20
+    while (left := shuffle_files() - before) and time.time() < until:
+        time.sleep(0.2)
+    assert not left
+    assert spark.conf.get(name) == setting
+    assert sorted(r.doc_id for r in found.collect() if r.removed) == [1, 2, 3, 4, 5]
