@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scoring
+from ..sources import shared
 from . import dense, population, resampling, roc
 
 
@@ -80,8 +81,8 @@ def of(importances: DataFrame, feature_id: int | None = None, least: float | Non
     return importances if least is None else importances.filter(F.col("importance") >= least)
 
 
-#: Permuted values that tasks share, at most.
-MOST_PERMUTED = 2_000_000
+#: Permuted values that tasks share, at most; and that are dealt at a time over blocks, about (a column of values at least).
+MOST_PERMUTED, WAVE = 2_000_000, 24_000_000
 
 
 def permuted_columns(x: DataFrame, matrix: dense.Matrix, features: DataFrame, permutations: int, seed: int) -> dict[int, np.ndarray]:
@@ -109,12 +110,12 @@ def of_models(models: DataFrame, matrix: dense.Matrix, x: DataFrame, permutation
     features = models.select(F.explode("terms.f").alias("feature_id"))
     if not matrix.one or features.distinct().count() * permutations * matrix.size > MOST_PERMUTED:
         return of_models_in_blocks(models, matrix, x, permutations, seed, language, data_type, epsilon)
-    shared = models.sparkSession.sparkContext.broadcast((matrix.whole, permuted_columns(x, matrix, features, permutations, seed)))
+    held = models.sparkSession.sparkContext.broadcast((matrix.whole, permuted_columns(x, matrix, features, permutations, seed)))
 
     read = scoring.kinds(language, data_type)
 
     def run(batches):
-        m, columns = shared.value
+        m, columns = held.value
         m = m.rows(m.y < 2)
         g = {own: m.read(own, epsilon) for _, own in read}
         for pdf in batches:
@@ -135,11 +136,19 @@ def of_models(models: DataFrame, matrix: dense.Matrix, x: DataFrame, permutation
     return dense.with_kind(models, language, data_type).mapInPandas(run, "model_id long, feature_id int, importance double")
 
 
-def permuted_blocks(x: DataFrame, matrix: dense.Matrix, features: DataFrame, permutations: int, seed: int) -> tuple[DataFrame, int]:
+def waves(features: list[int], permutations: int, samples: int, most: int) -> list[tuple[list[int], range]]:
+    """Features and permutations in steps of about ``most`` values: some features, or one with some of its permutations."""
+    n = max(1, min(permutations, most // max(samples, 1)))
+    n = -(-permutations // -(-permutations // n))  # about as many in each
+    some = max(1, most // max(samples * permutations, 1)) if n == permutations else 1
+    return [(features[k : k + some], range(p, min(p + n, permutations))) for k in range(0, len(features), some) for p in range(0, permutations, n)]
+
+
+def permuted_blocks(x: DataFrame, matrix: dense.Matrix, features: DataFrame, permutations: int | range, seed: int, own: list[int] | None = None) -> tuple[DataFrame, int]:
     """A matrix's blocks once for each ``part`` with ``moved``, features with values there, and beside each (as bytes) its samples, permutations and values; and the number of parts.
 
-    The matrix's feature at place k is of part k modulo that number: so many that the permuted values of a
-    part are no more than a block's cells, and that each task can have one.
+    The feature at place k of ``own`` (the matrix's, if not given) is of part k modulo that number: so many that the
+    permuted values of a part are no more than a block's cells, and that each task can have one.
     """
 
     def ids(batches):
@@ -150,53 +159,69 @@ def permuted_blocks(x: DataFrame, matrix: dense.Matrix, features: DataFrame, per
     def pack(key, v: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"block": [int(key[0])], "part": [int(key[1])], "moved": [int(key[2])], "ids": [v["sample_id"].to_numpy(np.int64).tobytes()], "places": [v["permutation"].to_numpy(np.int32).tobytes()], "new": [v["value"].to_numpy(float).tobytes()]})
 
-    spark, all_ = features.sparkSession, len(matrix.features)
-    parts = max(1, min(all_, max(-(-all_ * permutations * min(matrix.size, dense.ROWS) // dense.CELLS), -(-spark.sparkContext.defaultParallelism // matrix.count))))
+    own = [int(f) for f in matrix.features] if own is None else own
+    spark, all_, several = features.sparkSession, len(own), len(permutations) if isinstance(permutations, range) else permutations
+    parts = max(1, min(all_, max(-(-all_ * several * min(matrix.size, dense.ROWS) // dense.CELLS), -(-spark.sparkContext.defaultParallelism // matrix.count))))
     tasks = matrix.count * parts
     known = matrix.blocks.select("samples", "y").mapInPandas(ids, "sample_id long")
     rows = resampling.shuffled_feature(x, known, features, permutations, seed)
-    of = spark.createDataFrame([(int(f), k % parts) for k, f in enumerate(matrix.features)], "feature_id int, part int")
+    of = spark.createDataFrame([(f, k % parts) for k, f in enumerate(own)], "feature_id int, part int")
     rows = rows.join(F.broadcast(of), "feature_id").withColumn("block", F.pmod(F.xxhash64("sample_id"), F.lit(matrix.count)))
     rows = rows.repartition(dense.SPREAD * tasks, "block", "part")  # what a task sorts is a few parts of a block
-    own = rows.groupBy("block", "part", "feature_id").applyInPandas(pack, "block long, part int, moved int, ids binary, places binary, new binary")
-    own = own.groupBy("block", "part").agg(*[F.collect_list(c).alias(c) for c in ("moved", "ids", "places", "new")])
+    moved = rows.groupBy("block", "part", "feature_id").applyInPandas(pack, "block long, part int, moved int, ids binary, places binary, new binary")
+    moved = moved.groupBy("block", "part").agg(*[F.collect_list(c).alias(c) for c in ("moved", "ids", "places", "new")])
     every = matrix.blocks.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    every = every.repartition(dense.SPREAD * tasks, "block", "part").join(own.hint("merge"), ["block", "part"], "left")
-    return every.select(*matrix.blocks.columns, "part", *[F.coalesce(c, F.array().cast(own.schema[c].dataType)).alias(c) for c in own.columns[2:]]), parts
+    every = every.repartition(dense.SPREAD * tasks, "block", "part").join(moved.hint("merge"), ["block", "part"], "left")
+    return every.select(*matrix.blocks.columns, "part", *[F.coalesce(c, F.array().cast(moved.schema[c].dataType)).alias(c) for c in moved.columns[2:]]), parts
 
 
 def of_models_in_blocks(models: DataFrame, matrix: dense.Matrix, x: DataFrame, permutations: int, seed: int, language: str, data_type: str, epsilon: float) -> DataFrame:
-    """As ``of_models``: permuted columns come to each block by parts of the features, and AUCs from the tie groups of all blocks."""
-    features = models.select(F.explode("terms.f").alias("feature_id"))
+    """As ``of_models``: permuted columns come to each block by parts of the features, and AUCs from the tie groups of all blocks.
+
+    Columns are permuted in steps (``waves``), whose shuffle files go when their sums of AUCs are known, so the disk in
+    use doesn't grow with features and permutations. A row for each term of a model comes to the driver.
+    """
+    spark = models.sparkSession
+    features = sorted(int(r[0]) for r in models.select(F.explode("terms.f")).distinct().collect())
+    x = x.persist()  # read by permutations and, before, by the matrix
+    sums = []
+    with shared.shuffles_dropped(spark):
+        for some, perms in waves(features, permutations, matrix.size, WAVE):
+            beside, parts = permuted_blocks(x, matrix, spark.createDataFrame([(f,) for f in some], "feature_id int"), perms, seed, some)
+            g = dense.tied(models, matrix, permuted_scores({f: k % parts for k, f in enumerate(some)}, perms, epsilon), "model_id long, feature_id int, permutation int", language, data_type, epsilon, beside)
+            sums += dense.auc_of(g, ("model_id", "feature_id", "permutation")).groupBy("model_id", "feature_id").agg(F.sum("auc"), F.count("auc")).collect()
+        whole = dense.tied(models, matrix, lambda model, b, g, row: [((model[0],), dense.scored(b, g, model, epsilon), b.y)], "model_id long", language, data_type, epsilon)
+        whole = population.listed(dense.auc_of(whole))
+    sums = spark.createDataFrame(sums, "model_id long, feature_id int, total double, n long")
+    after = sums.groupBy("model_id", "feature_id").agg((F.sum("total") / F.sum("n")).alias("permuted"))
+    terms = models.select("model_id", F.explode("terms.f").alias("feature_id"))
+    auc = lambda c: F.coalesce(c, F.lit(0.5))
+    return terms.join(whole, "model_id", "left").join(after, ["model_id", "feature_id"], "left").select("model_id", "feature_id", (auc("auc") - auc("permuted")).alias("importance"))
+
+
+def permuted_scores(part_of: dict[int, int], perms: range, epsilon: float):
+    """What ``dense.tied`` emits: scores of a model with one of its features permuted, of those features that are of a row's part."""
 
     def emit(model, b, g, row):
         model_id, f, c, kind, values_of = model
+        mine = [k for k, feature in enumerate(f) if part_of.get(int(feature)) == row.part]
+        if not mine:
+            return
         known = b.y < 2
         samples, y = b.samples[known], b.y[known]
         at, c = np.searchsorted(b.features, f), np.asarray(c, float)
-        if not (at % parts == row.part).any():
-            return
         whole, own = np.asfortranarray(g[values_of][:, at][known]), np.arange(len(at))
         held = {int(v): n for n, v in enumerate(row.moved)}
-        for k, feature in enumerate(f):
-            if at[k] % parts != row.part:
-                continue
-            new, part = np.zeros((permutations, len(samples))), whole.copy(order="F")
-            n = held.get(int(feature))  # a feature without values in a block is permuted too
+        for k in mine:
+            new, part = np.zeros((len(perms), len(samples))), whole.copy(order="F")
+            n = held.get(int(f[k]))  # a feature without values in a block is permuted too
             if n is not None:
-                new[np.frombuffer(row.places[n], np.int32), np.searchsorted(samples, np.frombuffer(row.ids[n], np.int64))] = np.frombuffer(row.new[n])
-            for p, values in enumerate(b.as_read(new, at[k], values_of, epsilon)):
+                new[np.frombuffer(row.places[n], np.int32) - perms.start, np.searchsorted(samples, np.frombuffer(row.ids[n], np.int64))] = np.frombuffer(row.new[n])
+            for p, values in zip(perms, b.as_read(new, at[k], values_of, epsilon)):
                 part[:, k] = values
-                yield (model_id, int(feature), p), b.scores(own, c, kind, part, values_of, epsilon), y
+                yield (model_id, int(f[k]), p), b.scores(own, c, kind, part, values_of, epsilon), y
 
-    x = x.persist()  # read by permutations and, before, by the matrix
-    beside, parts = permuted_blocks(x, matrix, features, permutations, seed)
-    g = dense.tied(models, matrix, emit, "model_id long, feature_id int, permutation int", language, data_type, epsilon, beside)
-    after = dense.auc_of(g, ("model_id", "feature_id", "permutation")).groupBy("model_id", "feature_id").agg(F.avg("auc").alias("permuted"))
-    whole = dense.tied(models, matrix, lambda model, b, g, row: [((model[0],), dense.scored(b, g, model, epsilon), b.y)], "model_id long", language, data_type, epsilon)
-    terms = models.select("model_id", F.explode("terms.f").alias("feature_id"))
-    auc = lambda c: F.coalesce(c, F.lit(0.5))
-    return terms.join(dense.auc_of(whole), "model_id", "left").join(after, ["model_id", "feature_id"], "left").select("model_id", "feature_id", (auc("auc") - auc("permuted")).alias("importance"))
+    return emit
 
 
 def quantile_threshold(importance: DataFrame, quantile: float, margin: float = 0.0) -> DataFrame:
@@ -217,6 +242,7 @@ def over_models_median(importance: DataFrame, n_models: int, by_prevalence: bool
     A model without the feature counts as 0: as one value with the number of such models as its
     frequency. ``by_prevalence`` multiplies both by the share of models with the feature.
     """
+    importance = population.listed(importance)  # a row for each term of a model, read five times
     own = importance.select("feature_id", F.col("importance").alias("v"), F.lit(1).cast("long").alias("n"))
     rest = importance.groupBy("feature_id").agg(F.lit(0.0).alias("v"), (F.lit(n_models) - F.count("*")).alias("n"))
     every = own.unionByName(rest.filter("n > 0"))

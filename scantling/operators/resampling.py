@@ -119,15 +119,16 @@ def fit_on_folds(scores: DataFrame, assignment: DataFrame, overfit_penalty: floa
     return per.groupBy("model_id").agg(F.avg(F.col("t") - F.abs(F.col("t") - F.col("v")) * overfit_penalty).alias("fit"))
 
 
-def shuffled_feature(x: DataFrame, samples: DataFrame, features: DataFrame, permutations: int, seed: int) -> DataFrame:
-    """``feature_id, permutation, sample_id, value``: a feature's stored values on random distinct samples."""
-    p = features.sparkSession.range(permutations).select(F.col("id").cast("int").alias("permutation"))
+def shuffled_feature(x: DataFrame, samples: DataFrame, features: DataFrame, permutations: int | range, seed: int) -> DataFrame:
+    """``feature_id, permutation, sample_id, value``: a feature's stored values on random distinct samples; of so many permutations, or of those named."""
+    own = permutations if isinstance(permutations, range) else range(permutations)
+    p = features.sparkSession.range(own.start, own.stop).select(F.col("id").cast("int").alias("permutation"))
     features = features.select("feature_id").distinct()
-    rows = samples.count() * features.count() * permutations // LIGHT
+    rows = samples.count() * features.count() * len(own) // LIGHT
     places = dealt(samples.select("sample_id"), rows, "sample_id").crossJoin(F.broadcast(features.crossJoin(p)))
     places = places.withColumn("_u", draw(seed, "mda", "feature_id", "permutation", "sample_id"))
     places = ranks.placed(places, ["feature_id", "permutation"], ["_u", "sample_id"], ranks.draw_block(F.col("_u"))).drop("n", "_u")
-    values = x.join(samples.select("sample_id").hint("merge"), "sample_id", "left_semi").select("feature_id", "sample_id", "value")
+    values = x.join(F.broadcast(features), "feature_id", "left_semi").join(samples.select("sample_id").hint("merge"), "sample_id", "left_semi").select("feature_id", "sample_id", "value")
     values = ranks.placed(values, ["feature_id"], ["sample_id"], ranks.number_block(F.col("sample_id"))).select("feature_id", "place", "value")
     return places.join(values.hint("merge"), ["feature_id", "place"]).select("feature_id", "permutation", "sample_id", "value")
 

@@ -162,3 +162,37 @@ def test_fitted_populations_and_importances_make_no_row_for_each_model_and_sampl
     monkeypatch.setattr(scores, "evaluate", refused)
     assert ranking.fitted(spark, SF, 5).count() == 5
     assert plans.mda(spark, SF).count() > 4
+
+
+def test_columns_are_permuted_in_steps_that_leave_no_shuffle_files(spark, monkeypatch):
+    from scantling.sources import shared
+
+    assert importance.waves([3, 4, 5], 4, 10, 80) == [([3, 4], range(4)), ([5], range(4))]
+    assert importance.waves([3, 4], 5, 10, 30) == [([3], range(3)), ([3], range(3, 5)), ([4], range(3)), ([4], range(3, 5))]
+    assert importance.waves([3], 2, 10, 1) == [([3], range(1)), ([3], range(1, 2))]
+    x, samples = toy(spark)
+    models = spark.createDataFrame([(1, [(0, 1), (1, -1)]), (2, [(2, 1), (3, -1), (4, 1)])], "model_id long, terms array<struct<f:int,c:int>>")
+    found = lambda m: sorted((r.model_id, r.feature_id, round(r.importance, 9)) for r in importance.of_models(models, m, x, 3, 7, "ratio").collect())
+    want = found(dense.Matrix(x, samples))
+    monkeypatch.setattr(dense, "ONE", 0)
+    monkeypatch.setattr(dense, "ROWS", 30)
+    monkeypatch.setattr(importance, "WAVE", 360)
+    settings = []
+    deal = resampling.shuffled_feature
+    monkeypatch.setattr(resampling, "shuffled_feature", lambda *a: settings.append((spark.conf.get(shared.CLEANUP), len(a[3]))) or deal(*a))
+    assert found(dense.Matrix(x, samples)) == want
+    assert len(settings) > 1 and set(settings) == {("true", 3)}
+    assert spark.conf.get(shared.CLEANUP) == "false"
+
+
+def test_medians_over_models_run_importances_once(spark):
+    n = spark.sparkContext.accumulator(0)
+
+    def run(batches):
+        for pdf in batches:
+            n.add(len(pdf))
+            yield pdf
+
+    rows = spark.createDataFrame([(m, f, 0.1 * m * f) for m in range(3) for f in range(4)], "model_id long, feature_id int, importance double")
+    assert importance.over_models_median(rows.mapInPandas(run, rows.schema), 4).count() == 4
+    assert n.value == 12
