@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scoring as fs
 from ..functions.hashing import draw_sql
-from ..operators import dense, importance, population, resampling, roc, voting
+from ..operators import dense, importance, population, replicates, resampling, roc, voting
 from ..sources import fixtures as fx
 from . import base, ranking
 from .base import query
@@ -58,17 +58,27 @@ base.QUERIES["cv_fbm_union"] = cv_union
 base.SQL["cv_fbm_union"] = f"WITH {base.X}, {base.SAMPLES}, {base.terms(12)}, {base.scores()}, fo AS (SELECT sample_id, {chunk_sql(3)} AS fold FROM {places('fold', ['y'])}), parts AS (SELECT model_id, held, y, score FROM sc JOIN fo USING (sample_id), (SELECT unnest([0, 1, 2]) AS held) WHERE fold <> held), {base.auc('parts', 'ap', 'model_id, held')}, rk AS (SELECT *, row_number() OVER (PARTITION BY held ORDER BY round(auc, 9) DESC, model_id) AS place FROM ap) SELECT held, model_id, round(auc, 9) AS auc FROM rk WHERE place <= 4"
 
 B, ALPHA = 20, 0.1
-BOOT = f"bt AS (SELECT range::INT AS replicate FROM range({B})), mem AS (SELECT y, sample_id, row_number() OVER (PARTITION BY y ORDER BY sample_id) - 1 AS place, count(*) OVER (PARTITION BY y) AS n FROM samples WHERE y < 2), pk AS (SELECT replicate, y, {draw_sql(SEED, 'boot', 'replicate', 'sample_id')} % n AS place FROM mem, bt), boot AS (SELECT replicate, sample_id FROM pk JOIN mem USING (y, place))"
+#: Replicates of ``bootstrap_ci``: as many as the reference judges a population's thresholds by (it refuses fewer than 100).
+CI = 1000
+
+
+def boot_sql(replicates: int) -> str:
+    """``boot(replicate, sample_id)``: with replacement within each class, a row for each pick."""
+    return f"bt AS (SELECT range::INT AS replicate FROM range({replicates})), mem AS (SELECT y, sample_id, row_number() OVER (PARTITION BY y ORDER BY sample_id) - 1 AS place, count(*) OVER (PARTITION BY y) AS n FROM samples WHERE y < 2), pk AS (SELECT replicate, y, {draw_sql(SEED, 'boot', 'replicate', 'sample_id')} % n AS place FROM mem, bt), boot AS (SELECT replicate, sample_id FROM pk JOIN mem USING (y, place))"
+
+
+BOOT = boot_sql(B)
 PART = f"bt AS (SELECT range::INT AS replicate FROM range({B})), boot AS (SELECT replicate, sample_id FROM (SELECT *, row_number() OVER (PARTITION BY replicate, y ORDER BY {draw_sql(SEED, 'part', 'replicate', 'sample_id')}, sample_id) - 1 AS place, count(*) OVER (PARTITION BY replicate, y) AS n FROM samples, bt WHERE y < 2) WHERE place < ceil(n * 0.8::DOUBLE))"
 LO, HI = ceil(ALPHA / 2 * (B - 1)), int((1 - ALPHA / 2) * (B - 1))
+CI_LO, CI_HI = ceil(ALPHA / 2 * (CI - 1)), int((1 - ALPHA / 2) * (CI - 1))
 
 
 def replicated(boot):
     return f"WITH {base.X}, {base.SAMPLES}, {base.terms(4)}, {base.scores()}, {boot}, rep AS (SELECT model_id, replicate, y, score FROM sc JOIN boot USING (sample_id)), {base.roc('auc', None, 'rep', 'rb', 'model_id, replicate')}"
 
 
-query("bootstrap_ci", f"{replicated(BOOT)}, o AS (SELECT *, row_number() OVER (PARTITION BY model_id ORDER BY threshold) - 1 AS place FROM rb) SELECT model_id, max(threshold) FILTER (place = {LO}) AS lower, max(threshold) FILTER (place = {HI}) AS upper FROM o GROUP BY 1")(
-    lambda spark, sf: resampling.percentiles(resampling.replicate_thresholds(scored(spark, sf, n=4), resampling.bootstrap(fx.abundance_samples(spark, sf), B, SEED)), "threshold", B, ALPHA)
+query("bootstrap_ci", f"{replicated(boot_sql(CI))}, o AS (SELECT *, row_number() OVER (PARTITION BY model_id ORDER BY threshold) - 1 AS place FROM rb) SELECT model_id, max(threshold) FILTER (place = {CI_LO}) AS lower, max(threshold) FILTER (place = {CI_HI}) AS upper FROM o GROUP BY 1")(
+    lambda spark, sf: resampling.percentiles(replicates.thresholds(scored(spark, sf, n=4), CI, SEED), "threshold", CI, ALPHA)
 )
 query("bootstrap_weights", f"WITH {base.SAMPLES}, {BOOT} SELECT replicate, sample_id, count(*) AS weight FROM boot GROUP BY 1, 2")(lambda spark, sf: resampling.bootstrap(fx.abundance_samples(spark, sf), B, SEED))
 def geyer(spark, sf):

@@ -77,3 +77,22 @@ def test_replicates_by_weight_equal_repeated_rows(spark):
     got = {(r.model_id, r.replicate): r.threshold for r in resampling.replicate_thresholds(df, boot).collect()}
     again = df.join(boot, "sample_id").withColumn("_r", F.explode(F.sequence(F.lit(1), F.col("weight").cast("int"))))
     assert got == {(r.model_id, r.replicate): r.threshold for r in roc.best_threshold(again, key=("model_id", "replicate")).collect()} and len(got) == 12
+
+
+def test_thresholds_of_many_replicates_equal_those_of_their_table(spark, monkeypatch):
+    from scantling.operators import replicates
+
+    rng = np.random.default_rng(5)
+    df = spark.createDataFrame([(m, i * 7, float(rng.integers(9)), float(i % 3)) for m in range(2) for i in range(60)], "model_id long, sample_id long, score double, y double")
+    want = {(r.model_id, r.replicate): r.threshold for r in resampling.replicate_thresholds(df, resampling.bootstrap(df.filter("model_id = 0").select("sample_id", "y"), 12, 3)).collect()}
+    monkeypatch.setattr(replicates, "PLACES", 15)
+    monkeypatch.setattr(replicates, "WAVE", 320)
+    got = {(r.model_id, r.replicate): r.threshold for r in replicates.thresholds(df, 12, 3).collect()}
+    assert got == want and len(got) == 24
+
+
+def test_bands_of_thresholds_have_a_thousand_replicates():
+    from scantling.plans import base
+    from scantling.plans import resampling as plans
+
+    assert plans.CI == 1000 and "range(1000)" in base.SQL["bootstrap_ci"] and "range(20)" in base.SQL["bootstrap_weights"]
