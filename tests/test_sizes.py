@@ -196,3 +196,32 @@ def test_medians_over_models_run_importances_once(spark):
     rows = spark.createDataFrame([(m, f, 0.1 * m * f) for m in range(3) for f in range(4)], "model_id long, feature_id int, importance double")
     assert importance.over_models_median(rows.mapInPandas(run, rows.schema), 4).count() == 4
     assert n.value == 12
+
+
+def test_folds_of_large_tables_take_turns_and_leave_no_blocks(spark, monkeypatch):
+    import threading
+
+    from scantling.operators import run
+    from scantling.sources.store import Params
+
+    x, samples = toy(spark)
+    p = Params.of({"general": {"algo": "beam", "seed": 7}, "data": {"max_p": 1.0, "min_prevalence": 0.0}, "beam": {"k_stop": 2, "criterion": 100.0}, "folds": {"outer": 2, "alpha": 0.5}, "importance": {"permutations": 1}})
+    found = lambda: sorted((r.fold, r.term_key, round(r.valid_auc, 9)) for r in run.run_cv(x, samples, p).family.collect())
+    want, made, now, most = found(), [], [0], [0]
+    lock, search, init = threading.Lock(), run.found, dense.Matrix.__init__
+
+    def searched(*a):
+        with lock:
+            now[0] += 1
+            most[0] = max(most[0], now[0])
+        try:
+            return search(*a)
+        finally:
+            with lock:
+                now[0] -= 1
+
+    monkeypatch.setattr(run, "found", searched)
+    monkeypatch.setattr(dense.Matrix, "__init__", lambda self, *a, **b: made.append(self) or init(self, *a, **b))
+    monkeypatch.setattr(dense, "ONE", 0)
+    assert found() == want and most[0] == 1
+    assert len(made) == 4 and not any(m.blocks.is_cached for m in made)
